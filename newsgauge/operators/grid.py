@@ -56,8 +56,9 @@ def score_grid(
         .withColumn("right_block", every("right_blocks"))
         .drop("left_blocks", "right_blocks")
     )
+    # Renewed columns, as both sides may come from one table.
     rights = (
-        right.join(F.broadcast(table), "bucket")
+        right.select([F.col(c).alias(c) for c in right.columns]).join(F.broadcast(table), "bucket")
         .withColumn("right_block", block("right_id", "right_blocks"))
         .withColumn("left_block", every("left_blocks"))
         .drop("left_blocks", "right_blocks")

@@ -236,8 +236,8 @@ VIEWS = {
     "class_sizes": """SELECT y, n, CAST(sum(n) OVER (ORDER BY f) - n AS bigint) AS start FROM (
         SELECT y, count(*) AS n, min(article_id) AS f FROM filled GROUP BY y) x""",
     "fold_ends": """SELECT y, fold, sum(size) OVER (PARTITION BY y ORDER BY fold) AS fold_end FROM (
-        SELECT y, i AS fold, (SELECT count(*) FROM range(100000) p(at)
-          WHERE at >= start AND at < start + n AND at % 5 = i) AS size
+        SELECT y, i AS fold, (SELECT count(*) FROM unnest(range(start, start + n)) p(pos)
+          WHERE pos % 5 = i) AS size
         FROM class_sizes, range(5) folds(i)) x""",
     "in_folds": """SELECT r.*, (SELECT count(*) FROM fold_ends e
           WHERE e.y = r.y AND e.fold_end <= r.place) AS fold
@@ -347,14 +347,15 @@ TTEST = """SELECT dimension, round(rm, 6) AS real_mean, round(rv, 6) AS real_var
     round(fm, 6) AS fake_mean, round(fv, 6) AS fake_var, round(t, 6) AS t, round(p, 8) AS p, {flag}
   FROM ttests{where}"""
 
-HISTOGRAM = """WITH spans AS (SELECT label, dimension,
+VIEWS["spans"] = """SELECT label, dimension,
     CASE WHEN min(x) = max(x) THEN min(x) - 0.5 ELSE min(x) END AS lo,
     CASE WHEN min(x) = max(x) THEN max(x) + 0.5 ELSE max(x) END AS hi
-  FROM long_affect WHERE dimension <> 'voc' AND x IS NOT NULL GROUP BY label, dimension),
-edges AS (SELECT *, (hi - lo) / 20 AS step FROM spans),
-frame AS (SELECT label, dimension, CAST(i AS int) AS bin, (i - 1) * step + lo AS bin_start,
-    CASE WHEN i = 20 THEN hi ELSE i * step + lo END AS bin_end FROM edges, range(1, 21) bins(i))
-SELECT f.label, f.dimension, f.bin, round(any_value(bin_start), 6) AS bin_start,
+  FROM long_affect WHERE dimension <> 'voc' AND x IS NOT NULL GROUP BY label, dimension"""
+VIEWS["frame"] = """SELECT label, dimension, CAST(i AS int) AS bin,
+    (i - 1) * ((hi - lo) / 20) + lo AS bin_start,
+    CASE WHEN i = 20 THEN hi ELSE i * ((hi - lo) / 20) + lo END AS bin_end
+  FROM spans, range(1, 21) bins(i)"""
+HISTOGRAM = """SELECT f.label, f.dimension, f.bin, round(any_value(bin_start), 6) AS bin_start,
   round(any_value(bin_end), 6) AS bin_end, count(a.x) AS n
 FROM frame f LEFT JOIN long_affect a ON a.label = f.label AND a.dimension = f.dimension
   AND a.x >= bin_start AND (a.x < bin_end OR (f.bin = 20 AND a.x <= bin_end))
