@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as V
 from newsgauge.functions.affect import is_fake, label_name
-from newsgauge.operators.ranks import exact_cuts, hash_key
+from newsgauge.operators.ranks import HASH_SPAN, exact_cuts, hash_key
 
 FOLDS = 5
 
@@ -184,14 +184,15 @@ def stratified_folds(
         ends[row.y] = [sum(sizes[: i + 1]) for i in range(folds - 1)]
         start = stop
 
-    cuts = exact_cuts(data, F.col("y"), F.col("o"), {g: sorted(set(r)) for g, r in ends.items()})
+    ranks = {g: sorted(set(r)) for g, r in ends.items()}
+    cuts = exact_cuts(data, F.col("y"), F.col("o"), ranks, None if seed is None else HASH_SPAN)
     size = {row.y: row.n for row in classes}
     fold = F.lit(0)
     for g, wanted in ends.items():
         for r in wanted:
             if (g, r) in cuts:
                 # Keys are unique; rows that share a hash value stay together below the cut.
-                beyond = order > cuts[g, r][0]
+                beyond = order > cuts[g, r].value
             else:
                 beyond = F.lit(r < size[g])
             fold = fold + ((y == g) & beyond).cast("int")

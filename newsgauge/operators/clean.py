@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from newsgauge.functions import fixed_values as V
 from newsgauge.functions import text as TX
 from newsgauge.functions.affect import is_fake
-from newsgauge.operators.ranks import exact_cuts, hash_key
+from newsgauge.operators.ranks import HASH_SPAN, exact_cuts, hash_key
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -119,11 +119,12 @@ def sample_n(
     if n <= 0:
         return df.limit(0)
     keyed = df.select(hash_key(key, seed).alias("h"), key.cast("string").alias("k"))
-    cut = exact_cuts(keyed, F.lit(0), F.col("h"), {0: [n]}).get((0, n))
+    cut = exact_cuts(keyed, F.lit(0), F.col("h"), {0: [n]}, HASH_SPAN).get((0, n))
     if cut is None:
         return df
-    value, taken = cut
     h, k = hash_key(key, seed), key.cast("string")
-    ties = keyed.where(F.col("h") == value).orderBy("k").limit(taken)
+    if cut.taken == cut.ties:
+        return df.where(h <= cut.value)
+    ties = keyed.where(F.col("h") == cut.value).orderBy("k").limit(cut.taken)
     last = ties.agg(F.max("k")).first()[0]
-    return df.where((h < value) | ((h == value) & (k <= last)))
+    return df.where((h < cut.value) | ((h == cut.value) & (k <= last)))

@@ -58,7 +58,7 @@ def kmeans_labels(
     features: Sequence[str] = tuple(V.FEATURES),
     restarts: int = 20,
     seed: int = V.SEED,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Two clusters, best of several starts: ``article_id, label, cluster, pred``."""
     data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
@@ -83,7 +83,7 @@ def gmm_labels(
     features: Sequence[str] = tuple(V.FEATURES),
     restarts: int = 10,
     seed: int = V.SEED,
-    parallelism: int = 4,
+    parallelism: int = 8,
 ) -> DataFrame:
     """Two Gaussian components, best of several starts, with the probability of each."""
     data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,11 +7,39 @@ values are found from histograms instead, and rows are then compared with them i
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BINS = 4096
 SMALL = 10_000
+HASH_SPAN = (0, (1 << 60) - 1)
+
+
+@dataclass(frozen=True)
+class Cut:
+    """The r smallest rows are those below ``value``, plus ``taken`` of the ``ties`` equal to it."""
+
+    value: int
+    taken: int
+    ties: int
+
+
+@dataclass
+class _Search:
+    """Values lo..hi hold ``rows`` rows, of which the first ``wanted`` belong to the cut."""
+
+    lo: int
+    hi: int
+    wanted: int
+    rows: int | None
+
+    def width(self) -> int:
+        return (self.hi - self.lo) // BINS + 1
+
+    def exact(self) -> bool:
+        return (self.rows is not None and self.rows <= SMALL) or self.hi - self.lo < BINS
 
 
 def hash_key(key: Column, seed: int) -> Column:
@@ -21,84 +49,76 @@ def hash_key(key: Column, seed: int) -> Column:
 
 
 def exact_cuts(
-    df: DataFrame, group: Column, value: Column, ranks: dict[object, list[int]]
-) -> dict[tuple[object, int], tuple[int, int]]:
-    """For each group and rank r: ``(v, t)`` such that the r smallest rows of the group are
-    those with value < v, plus t of the rows with value = v.
-
-    ``value`` is an integer column without nulls. Ranks of 0 or at least the group's size are
-    left out. Every pass brings at most ``BINS`` counts per cut to the driver.
+    df: DataFrame,
+    group: Column,
+    value: Column,
+    ranks: dict[object, list[int]],
+    span: tuple[int, int] | None = None,
+) -> dict[tuple[object, int], Cut]:
+    """The cut after the r smallest rows, for each group and rank r.
+
+    ``value`` is an integer column without nulls, within ``span`` if that is known. Ranks of 0
+    and beyond the group's size are left out. Every pass over the two columns brings at most
+    ``SMALL`` counts per cut to the driver, and narrows its range by a factor of ``BINS``.
     """
     data = df.select(group.alias("g"), value.cast("bigint").alias("v"))
-    groups = list(ranks)
-    spans = data.where(F.col("g").isin(groups)).groupBy("g").agg(
-        F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")
-    )
-    span_of = {row.g: row for row in spans.collect()}
-
-    # cut -> [lowest value, highest value, rows wanted inside, rows inside]
-    open_cuts: dict[tuple[object, int], list[int]] = {}
-    found: dict[tuple[object, int], tuple[int, int]] = {}
-    for g, wanted in ranks.items():
-        for r in wanted:
-            if g in span_of and 0 < r < span_of[g].n:
-                open_cuts[g, r] = [span_of[g].lo, span_of[g].hi, r, span_of[g].n]
-
-    while open_cuts:
-        small = {c: s for c, s in open_cuts.items() if s[3] <= SMALL or s[0] == s[1]}
-        wide = {c: s for c, s in open_cuts.items() if c not in small}
-        open_cuts = {}
-        single = {c for c, s in small.items() if s[0] == s[1]}
-        for c in single:
-            found[c] = (small[c][0], small[c][2])
-        for c, counts in _counts(data, {c: s for c, s in small.items() if c not in single}, 1).items():
-            found[c] = _locate(counts, small[c][2])[:2]
-        for c, counts in _counts(data, wide, BINS).items():
-            lo, hi, wanted, _ = wide[c]
-            width = _width(lo, hi, BINS)
-            at, inside, n = _locate(counts, wanted)
-            start = lo + at * width
-            open_cuts[c] = [start, min(hi, start + width - 1), inside, n]
+    searches: dict[tuple[object, int], _Search] = {}
+    if span is None:
+        spans = data.where(F.col("g").isin(list(ranks))).groupBy("g").agg(
+            F.min("v").alias("lo"), F.max("v").alias("hi"), F.count("v").alias("n")
+        )
+        for row in spans.collect():
+            for r in ranks[row.g]:
+                searches[row.g, r] = _Search(row.lo, row.hi, r, row.n)
+    else:
+        searches = {(g, r): _Search(*span, r, None) for g, rs in ranks.items() for r in rs}
+
+    found: dict[tuple[object, int], Cut] = {}
+    while searches:
+        counts = _counts(data, searches)
+        narrowed = {}
+        for cut, s in searches.items():
+            at = _locate(counts[cut], s.wanted)
+            if at is None:
+                continue
+            bin_number, inside, rows = at
+            if s.exact():
+                found[cut] = Cut(bin_number, inside, rows)
+            else:
+                start = s.lo + bin_number * s.width()
+                narrowed[cut] = _Search(start, min(s.hi, start + s.width() - 1), inside, rows)
+        searches = narrowed
     return found
 
 
-def _width(lo: int, hi: int, bins: int) -> int:
-    return (hi - lo) // bins + 1
-
-
-def _counts(data: DataFrame, cuts: dict, bins: int) -> dict[object, dict[int, int]]:
-    """Per cut the number of rows per bin of its value range (``bins`` 1: per value)."""
-    if not cuts:
-        return {}
-    names = list(cuts)
-    entries, conditions = [], []
-    for i, (g, r) in enumerate(names):
-        lo, hi, _, _ = cuts[g, r]
-        inside = (F.col("g") == g) & F.col("v").between(lo, hi)
-        bin_number = F.expr("v" if bins == 1 else f"(v - ({lo}L)) div {_width(lo, hi, bins)}L")
-        conditions.append(inside)
+def _counts(data: DataFrame, searches: dict) -> dict[object, dict[int, int]]:
+    """Per search the number of rows per bin of its range, or per value where few are left."""
+    cuts = list(searches)
+    entries, anywhere = [], F.lit(False)
+    for i, (g, r) in enumerate(cuts):
+        s = searches[g, r]
+        inside = (F.col("g") == g) & F.col("v").between(s.lo, s.hi)
+        bin_number = F.expr("v" if s.exact() else f"(v - ({s.lo}L)) div {s.width()}L")
+        anywhere = anywhere | inside
         entries.append(F.when(inside, F.struct(F.lit(i).alias("cut"), bin_number.alias("bin"))))
-    any_inside = conditions[0]
-    for c in conditions[1:]:
-        any_inside = any_inside | c
     rows = (
-        data.where(any_inside)
+        data.where(anywhere)
         .select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
         .groupBy("cut", "bin")
         .count()
         .collect()
     )
-    result: dict[object, dict[int, int]] = {name: {} for name in names}
+    result: dict[object, dict[int, int]] = {cut: {} for cut in cuts}
     for row in rows:
-        result[names[row.cut]][row.bin] = row["count"]
+        result[cuts[row.cut]][row.bin] = row["count"]
     return result
 
 
-def _locate(counts: dict[int, int], wanted: int) -> tuple[int, int, int]:
-    """The bin that holds the ``wanted``-th row, how many rows of it belong, and its size."""
+def _locate(counts: dict[int, int], wanted: int) -> tuple[int, int, int] | None:
+    """The bin of the ``wanted``-th row, how many of its rows belong, and its size."""
     seen = 0
     for at in sorted(counts):
-        if seen + counts[at] >= wanted:
+        if 0 < wanted <= seen + counts[at]:
             return at, wanted - seen, counts[at]
         seen += counts[at]
-    raise ValueError("rank beyond the group")
+    return None

@@ -78,7 +78,7 @@ def retrieve_top_k(
         F.xxhash64(F.lit("second"), "embedding").alias("c2"),
     )
     copy_key = ["domain", "c1", "c2"]
-    first = first_ids(keyed, copy_key, "article_id", k)
+    first = first_ids(keyed, copy_key, "article_id", k).drop("place")
     first = materialize(spark, first, "vectors")
     searches = first.groupBy(*copy_key).agg(
         F.min("article_id").alias("left_id"),
