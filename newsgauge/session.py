@@ -23,25 +23,29 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
     )
 
 
+_local_folders: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
 
-    Only a local master may fall back to a temporary folder, because there the driver and
-    the executors are one machine.
+    Only a local master may do without, as there the driver and the executors are one machine.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="newsgauge-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in _local_folders:
+        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="newsgauge-")
+    return _local_folders[context.applicationId]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing else uses."""
-    return f"{shared_folder(spark)}/newsgauge/{name}-{uuid.uuid4().hex}"
+    """A path in the shared folder that nothing else uses, grouped by application."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/newsgauge/{application}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(spark: SparkSession, df, name: str):
