@@ -1,0 +1,137 @@
+import math
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from newsgauge.operators import evidence as EV
+
+
+def token_set(text):
+    return {t for t in re.split("[^a-z0-9]+", text.lower()) if len(t) >= 4}
+
+
+def brute_force(articles, pages, k):
+    df = {}
+    for _, content in pages:
+        for t in token_set(content):
+            df[t] = df.get(t, 0) + 1
+    n = len(pages)
+    out = set()
+    for i, text in articles:
+        scored = []
+        for j, content in pages:
+            shared = [t for t in token_set(text) & token_set(content) if df[t] <= 0.2 * n]
+            if shared:
+                scored.append((-round(sum(math.log(n / df[t]) for t in sorted(shared)), 6), j))
+        for rank, (score, j) in enumerate(sorted(scored)[:k], 1):
+            out.add((i, j, round(-score, 5), rank))
+    return out
+
+
+@pytest.fixture(scope="module")
+def corpus():
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(150)]
+    weights = [1 / (i + 1) for i in range(150)]
+
+    def text(n):
+        return " ".join(rng.choices(words, weights, k=n))
+
+    pages = [(j, text(rng.randint(3, 25))) for j in range(180)]
+    # Copies of a page, and a token in every page.
+    pages += [(200 + j, pages[7][1]) for j in range(20)]
+    pages = [(j, c + " everywhere") for j, c in pages]
+    articles = [(i, text(rng.randint(1, 30))) for i in range(90)]
+    # A third of the articles are copies; some have no usable token.
+    articles += [(100 + i, articles[3][1]) for i in range(45)] + [(300, ""), (301, "everywhere"), (302, "a b c")]
+    return articles, pages
+
+
+def frames(spark, corpus):
+    articles, pages = corpus
+    return (
+        spark.createDataFrame(articles, "article_id long, text string").repartition(3),
+        spark.createDataFrame(pages, "page_id long, content string").repartition(2),
+    )
+
+
+def answers(df):
+    return {(r.article_id, r.page_id, round(r.score, 5), r["rank"]) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block_rows", [2048, 11])
+def test_grid_equals_brute_force(spark, corpus, block_rows):
+    out = EV.evidence_top_k(*frames(spark, corpus), k=5, block_rows=block_rows)
+    assert answers(out) == brute_force(*corpus, 5)
+
+
+@pytest.mark.parametrize("rare_pages", [1, 4, 12, 10**6])
+@pytest.mark.parametrize("k", [1, 5])
+def test_rare_first_equals_brute_force(spark, corpus, rare_pages, k):
+    out = EV.evidence_top_k(*frames(spark, corpus), k=k, grid_pairs=0, rare_pages=rare_pages)
+    assert answers(out) == brute_force(*corpus, k)
+
+
+def test_rare_first_settles_articles_without_the_grid(spark, corpus, monkeypatch):
+    """Some articles must be final after their rare tokens, or the path would be pointless."""
+    hard = []
+    grid = EV._grid
+    monkeypatch.setattr(EV, "_grid", lambda weighted, *rest: (hard.append(weighted), grid(weighted, *rest))[1])
+    out = EV.evidence_top_k(*frames(spark, corpus), k=1, grid_pairs=0, rare_pages=12)
+    assert answers(out) == brute_force(*corpus, 1)
+    searched = {r.left_id for r in hard[0].select("left_id").distinct().collect()}
+    answered = {r.article_id for r in out.collect()}
+    assert 0 < len(searched) < len(answered)
+
+
+def test_evidence_text_and_empty_evidence(spark):
+    corpus = spark.createDataFrame(
+        [(1, "u1", "t1", "c" * 900), (2, "u2", None, "d")], "page_id long, url string, title string, content string"
+    )
+    matches = spark.createDataFrame([(7, 2, 2), (7, 1, 1)], "article_id long, page_id long, rank int")
+    evidence = EV.evidence_text(matches, corpus)
+    row = evidence.first()
+    assert row.evidence_text == (
+        "Source: u1\nTitle:  t1\nText:   " + "c" * 800 + "\n\n---\n\nSource: u2\nTitle:  \nText:   d"
+    )
+    assert row.sources == ["u1", "u2"]
+    articles = spark.createDataFrame([(7,), (8,)], "article_id long")
+    rows = {r.article_id: r for r in EV.attach_evidence(articles, evidence).collect()}
+    assert rows[8].evidence_text == "" and rows[8].sources == []
+
+
+def test_verified_article_keeps_articles_without_evidence(spark):
+    articles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "article_id long, title string")
+    queries = spark.createDataFrame([(1, "q")], "article_id long, query string")
+    evidence = spark.createDataFrame([(1, "e", ["u"])], "article_id long, evidence_text string, sources array<string>")
+    replies = spark.createDataFrame([(1, '{"verdict": "SUPPORTED"}'), (2, "no")], "article_id long, raw string")
+    out = EV.verified_article(articles, queries, evidence, EV.parse_verdicts(replies)).orderBy("article_id").collect()
+    assert [tuple(r) for r in out] == [
+        (1, "a", "q", ["u"], "SUPPORTED", 0.5, '{"verdict": "SUPPORTED"}'),
+        (2, "b", None, [], "INSUFFICIENT_EVIDENCE", 0.5, "no"),
+    ]
+
+
+def test_assembled_inputs_are_in_rank_order(spark):
+    articles = spark.createDataFrame([(1, "t", "fake"), (2, "u", None)], "article_id long, full_text string, label string")
+    neighbours = spark.createDataFrame([(1, 9, 0.1, 2), (1, 8, 0.9, 1)], "article_id long, neighbour_id long, cosine double, rank int")
+    affect = spark.createDataFrame([(1, 0.3)], "article_id long, vreg double")
+    verdicts = spark.createDataFrame([(2, "SUPPORTED", 0.7)], "article_id long, verdict string, confidence double")
+    out = EV.assemble_prompt_inputs(articles, neighbours, affect, verdicts).orderBy("article_id").collect()
+    assert [n.neighbour_id for n in out[0].neighbours] == [8, 9]
+    assert out[0].vreg == 0.3 and out[0].verdict is None
+    assert out[1].neighbours is None and out[1].verdict == "SUPPORTED"
+
+
+def test_shared_key_of_two_tokens_is_an_error(spark, monkeypatch):
+    def one_key(text):
+        return F.transform(EV.tokens(text), lambda t: F.struct(F.lit(1).cast("bigint").alias("key"), F.hash(t).alias("check")))
+
+    monkeypatch.setattr(EV, "_checked_keys", one_key)
+    monkeypatch.setattr(EV, "MAX_DF_SHARE", 1.0)
+    articles = spark.createDataFrame([(1, "alpha")], "article_id long, text string")
+    pages = spark.createDataFrame([(1, "alpha"), (2, "gamma")], "page_id long, content string")
+    with pytest.raises(Exception, match="share a hash value"):
+        EV.evidence_top_k(articles, pages).collect()
