@@ -48,11 +48,23 @@ def parse_voc(raw: Column) -> Column:
     return F.when(raw.isNotNull(), clamped.cast("int"))
 
 
+def emotion_bits(raw: Column) -> Column:
+    """Emotions named anywhere in a reply, one bit each in vocabulary order."""
+    low = F.lower(raw)
+    bits = [F.when(F.contains(low, F.lit(e)), 1 << i).otherwise(0) for i, e in enumerate(EMOTIONS)]
+    return F.when(raw.isNotNull(), sum(bits[1:], bits[0]))
+
+
+def emotion_names(bits: Column) -> Column:
+    """The emotions of ``emotion_bits`` as an array."""
+    names = F.array(*[F.lit(e) for e in EMOTIONS])
+    chosen = F.filter(names, lambda e, i: F.getbit(bits, i) == 1)
+    return F.when(bits.isNotNull(), chosen)
+
+
 def parse_ec(raw: Column) -> Column:
     """Emotions named anywhere in a reply, in vocabulary order."""
-    low = F.lower(raw)
-    found = F.filter(F.array(*[F.lit(e) for e in EMOTIONS]), lambda e: F.contains(low, e))
-    return F.when(raw.isNotNull(), found)
+    return emotion_names(emotion_bits(raw))
 
 
 def read_ec_repr(c: Column) -> Column:
@@ -89,39 +101,44 @@ def fill_template(template: str, **columns: Column) -> Column:
     return F.concat(*parts)
 
 
-def parse_verdict(raw: Column) -> Column:
-    """Struct ``(verdict, confidence, explanation)`` from a reply that may hold a JSON object.
+def verdict_object(raw: Column) -> Column:
+    """The JSON object in a reply, from the first ``{`` to the last ``}``, as a variant.
 
-    The object reaches from the first ``{`` to the last ``}``. Without a valid object every
-    field keeps its default. A confidence that is no number keeps 0.5, and the explanation
-    then stays the start of the reply, while the verdict is kept.
+    It is wrapped as ``{"body": .., "end": 1}``, as text after an object would be ignored.
     """
     start = F.instr(raw, "{")
     last = F.instr(F.reverse(raw), "}")
     end = F.when(last > 0, F.length(raw) - last + 1).otherwise(F.lit(0))
     body = F.when((start > 0) & (end > start), F.substring(raw, start, end - start + 1))
-    # The end marker is only reached if the body is exactly one valid object.
-    wrapped = F.concat(F.lit('{"body":'), body, F.lit(',"end":1}'))
-    whole = (F.size(F.json_object_keys(wrapped)) == 2) & (
-        F.try_variant_get(F.try_parse_json(wrapped), "$.end", "int") == 1
+    return F.try_parse_json(F.concat(F.lit('{"body":'), body, F.lit(',"end":1}')))
+
+
+def verdict_fields(raw: Column, wrapped: Column) -> Column:
+    """Struct ``(verdict, confidence, explanation)`` of a reply and its ``verdict_object``.
+
+    Without exactly one valid object every field keeps its default. A confidence that is no
+    number keeps 0.5, and the explanation then stays the start of the reply, while the verdict
+    is kept.
+    """
+    whole = (F.size(F.try_variant_get(wrapped, "$", "map<string,variant>")) == 2) & (
+        F.try_variant_get(wrapped, "$.end", "int") == 1
     )
-    parsed = F.when(whole, F.try_parse_json(wrapped))
+    parsed = F.when(whole, F.try_variant_get(wrapped, "$.body", "variant"))
 
-    def field(name: str) -> Column:
-        return F.try_variant_get(parsed, f"$.body.{name}", "variant")
+    def present(name: str) -> Column:
+        return F.try_variant_get(parsed, f"$.{name}", "variant").isNotNull()
 
     def string_or(name: str, default: Column) -> Column:
-        value = F.try_variant_get(parsed, f"$.body.{name}", "string")
-        return F.when(field(name).isNotNull(), value).otherwise(default)
+        value = F.try_variant_get(parsed, f"$.{name}", "string")
+        return F.when(present(name), value).otherwise(default)
 
-    number = F.try_variant_get(parsed, "$.body.confidence", "double")
+    number = F.try_variant_get(parsed, "$.confidence", "double")
     number = F.when(~F.isnan(number), number)
-    bad_number = field("confidence").isNotNull() & number.isNull()
     start_of_reply = truncate(raw, EXPLANATION_CHARS)
     return F.struct(
         string_or("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"),
         F.coalesce(number, F.lit(DEFAULT_CONFIDENCE)).alias("confidence"),
-        F.when(bad_number, start_of_reply)
+        F.when(present("confidence") & number.isNull(), start_of_reply)
         .otherwise(string_or("explanation", start_of_reply))
         .alias("explanation"),
     )

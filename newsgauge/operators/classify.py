@@ -42,7 +42,7 @@ class Moments:
         return out
 
 
-def _moments(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> dict[tuple, Moments]:
+def column_moments(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> dict[tuple, Moments]:
     """Moments per key, one aggregate. Keys are labels and folds, so there are few."""
     aggregates = []
     for f in features:
@@ -78,7 +78,7 @@ class Scaler:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> Scaler:
-        return cls.of(_moments(df, [], features)[()], features)
+        return cls.of(column_moments(df, [], features)[()], features)
 
     def columns(self) -> list[Column]:
         return [(F.col(f) - m) / s for f, m, s in zip(self.features, self.mean, self.std)]
@@ -121,7 +121,7 @@ class CentroidModel:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> CentroidModel:
-        m = _moments(df.select(is_fake(F.col("label")).alias("y"), *features), ["y"], features)
+        m = column_moments(df.select(is_fake(F.col("label")).alias("y"), *features), ["y"], features)
         return cls.of(m[1,], m[0,], features)
 
     def distances(self) -> tuple[Column, Column]:
@@ -213,7 +213,7 @@ def nearest_centroid_cv(
     data = stratified_folds(df, folds=folds).select(
         "article_id", "fold", is_fake(F.col("label")).alias("y"), *features
     )
-    parts = _moments(data, ["fold", "y"], features)
+    parts = column_moments(data, ["fold", "y"], features)
 
     def total(y: int | None, without: int | None) -> Moments:
         chosen = [m for (f, c), m in parts.items() if f != without and (y is None or c == y)]

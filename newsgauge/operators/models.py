@@ -20,6 +20,7 @@ from newsgauge.operators.classify import (
     FOLDS,
     CentroidModel,
     Scaler,
+    column_moments,
     cv_summary,
     stratified_folds,
     weighted_scores,
@@ -72,7 +73,7 @@ def kmeans_labels(
         fake_cluster = _vote(model.transform(data).withColumnRenamed("prediction", "cluster"))
     finally:
         data.unpersist()
-    return model.transform(_scaled_vectors(df, features)).select(
+    return model.transform(data).select(
         "article_id", "label", F.col("prediction").alias("cluster"),
         (F.col("prediction") == fake_cluster).cast("int").alias("pred"),
     )
@@ -98,7 +99,7 @@ def gmm_labels(
     finally:
         data.unpersist()
     probability = vector_to_array("probability")
-    return model.transform(_scaled_vectors(df, features)).select(
+    return model.transform(data).select(
         "article_id", "label", F.col("prediction").alias("cluster"),
         (F.col("prediction") == fake_component).cast("int").alias("pred"),
         probability[0].alias("prob_0"), probability[1].alias("prob_1"),
@@ -111,8 +112,8 @@ def gmm_labels(
 def _classifier(df: DataFrame, features: Sequence[str], c: float) -> PipelineModel:
     """Fill, scale and classify as one model. Needs ``y``; missing scores count as 0.5."""
     filled = df.na.fill(V.MISSING_FEATURE, subset=list(features)).select("y", *features)
-    n = filled.count()
-    scaler = Scaler.fit(filled, features)
+    moments = column_moments(filled, [], features)[()]
+    scaler = Scaler.of(moments, features)
     scaled = ", ".join(
         f"(coalesce(cast({f} as double), {V.MISSING_FEATURE}D) - ({m!r}D)) / ({s!r}D) AS scaled_{f}"
         for f, m, s in zip(features, scaler.mean, scaler.std)
@@ -122,7 +123,7 @@ def _classifier(df: DataFrame, features: Sequence[str], c: float) -> PipelineMod
         SQLTransformer(statement=f"SELECT *, {scaled} FROM __THIS__"),
         VectorAssembler(inputCols=names, outputCol="features"),
         LogisticRegression(
-            labelCol="y", regParam=1.0 / (c * n), elasticNetParam=0.0, standardization=False,
+            labelCol="y", regParam=1.0 / (c * moments.n[0]), elasticNetParam=0.0, standardization=False,
             maxIter=MAX_ITERATIONS, tol=1e-10,
         ),
     ]

@@ -104,15 +104,17 @@ def affect_profile(replies: DataFrame) -> DataFrame:
         return F.max(F.when(condition, value))
 
     task, emotion = F.col("task"), F.col("emotion")
-    return replies.groupBy("article_id").agg(
+    # The emotions travel as bits: all buffers are numbers, so Spark can aggregate by hash.
+    profile = replies.groupBy("article_id").agg(
         one(task == "vreg", TX.parse_float(raw)).alias("vreg"),
         one(task == "voc", TX.parse_voc(raw)).alias("voc"),
         *[
             one((task == "eireg") & (emotion == e), TX.parse_float(raw)).alias(f"eireg_{e}")
             for e in V.INTENSITY_EMOTIONS
         ],
-        one(task == "ec", TX.parse_ec(raw)).alias("ec"),
+        one(task == "ec", TX.emotion_bits(raw)).alias("ec"),
     )
+    return profile.withColumn("ec", TX.emotion_names(F.col("ec")))
 
 
 def attach_profile(articles: DataFrame, profiles: DataFrame) -> DataFrame:

@@ -22,8 +22,9 @@ def resume_todo(articles: DataFrame, done: DataFrame) -> DataFrame:
     if "status" in done.columns:
         tasks = ["article_id", *[c for c in ("task", "emotion") if c in done.columns]]
         succeeded = (F.col("status") == OK).cast("int")
+        # Partitioned once, for both aggregates and the join.
         done = (
-            done.groupBy(*tasks).agg(F.max(succeeded).alias("good"))
+            done.repartition("article_id").groupBy(*tasks).agg(F.max(succeeded).alias("good"))
             .groupBy("article_id").agg(F.min("good").alias("good"))
             .where(F.col("good") == 1)
         )

@@ -126,7 +126,7 @@ VERDICTS = [
 
 @pytest.mark.parametrize("raw", VERDICTS)
 def test_parse_verdict(spark, raw):
-    out = apply(spark, [raw], TX.parse_verdict)[0]
+    out = apply(spark, [raw], lambda c: TX.verdict_fields(c, TX.verdict_object(c)))[0]
     assert tuple(out) == verdict_of(raw)
 
 
