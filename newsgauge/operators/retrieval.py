@@ -78,6 +78,7 @@ def retrieve_top_k(
         F.xxhash64(F.lit("second"), "embedding").alias("c2"),
     )
     copy_key = ["domain", "c1", "c2"]
+    copies_of = materialize(spark, keyed.select("article_id", *copy_key), "vector-keys")
     first = first_ids(keyed, copy_key, "article_id", k).drop("place")
     first = materialize(spark, first, "vectors")
     searches = first.groupBy(*copy_key).agg(
@@ -103,8 +104,9 @@ def retrieve_top_k(
     answers = best.select(
         *copy_key, F.col("right_id").alias("neighbour_id"), F.col("score").alias("cosine"), "rank"
     )
+    answers = materialize(spark, answers, "answers")
     # Every copy gets the answer of its search.
-    return join_lookup(keyed.select("article_id", *copy_key), answers, copy_key).select(
+    return join_lookup(copies_of, answers, copy_key).select(
         "article_id", "neighbour_id", "cosine", "rank"
     )
 

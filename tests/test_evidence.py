@@ -127,7 +127,7 @@ def test_assembled_inputs_are_in_rank_order(spark):
 
 def test_shared_key_of_two_tokens_is_an_error(spark, monkeypatch):
     def one_key(text):
-        return F.transform(EV.tokens(text), lambda t: F.struct(F.lit(1).cast("bigint").alias("key"), F.hash(t).alias("check")))
+        return F.transform(F.array_distinct(EV.tokens(text)), lambda t: F.struct(F.lit(1).cast("bigint").alias("key"), F.hash(t).alias("check")))
 
     monkeypatch.setattr(EV, "_checked_keys", one_key)
     monkeypatch.setattr(EV, "MAX_DF_SHARE", 1.0)
