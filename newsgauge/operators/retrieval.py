@@ -19,6 +19,7 @@ MAX_PIVOTS = 4096
 PIVOT_BYTES = 64 << 20
 BUCKETS_FROM = 50_000
 SLACK = 1e-6
+BROAD_SHARE = 0.5
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -68,7 +69,8 @@ def retrieve_top_k(
     neighbours, so copies are collapsed first. Small tables are compared in one grid of
     blocks. Large ones are split by their nearest pivot vector: a search starts in its own
     bucket, and then visits exactly those buckets whose angle range could still beat its k-th
-    result.
+    result. A search that would visit most of the table goes through the plain grid instead,
+    as its larger blocks cost less per row.
     """
     spark = vectors.sparkSession
     usable = vectors.where(norm(F.col("embedding")) > 0)
@@ -91,7 +93,7 @@ def retrieve_top_k(
     n, size = candidates.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if buckets is None:
         buckets = 1 if n <= BUCKETS_FROM else min(
-            MAX_PIVOTS, math.isqrt(n), max(1, PIVOT_BYTES // (8 * size))
+            MAX_PIVOTS, 2 * math.isqrt(n), max(1, PIVOT_BYTES // (8 * size))
         )
     if buckets <= 1:
         scored = score_grid(
@@ -143,40 +145,54 @@ def _bucketed(
     limits = near.where(F.col("rank") == k).select("left_id", F.col("score").alias("limit"))
 
     # One row per bucket.
-    spans = candidates.groupBy("bucket").agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"))
-    ranges = spans.toPandas().sort_values("bucket")
+    ranges = (
+        candidates.groupBy("bucket")
+        .agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
+        .toPandas()
+        .sort_values("bucket")
+    )
 
     def visits(batches):
         numbers = ranges["bucket"].to_numpy()
         lo, hi = ranges["lo"].to_numpy(), ranges["hi"].to_numpy()
+        share = ranges["n"].to_numpy() / ranges["n"].sum()
         for batch in batches:
             if not len(batch):
                 continue
             angles = np.arccos(np.clip(_unit_rows(batch["embedding"]) @ pivots.value[numbers].T, -1, 1))
             gap = np.maximum(np.maximum(angles - hi, lo - angles), 0.0)
             limit = batch["limit"].fillna(-2.0).to_numpy()[:, None]
-            open_buckets = (np.cos(gap) >= limit - SLACK) & (
-                numbers[None, :] != batch["bucket"].to_numpy()[:, None]
-            )
+            home = numbers[None, :] == batch["bucket"].to_numpy()[:, None]
+            wanted = (np.cos(gap) >= limit - SLACK) & ~home
+            broad = wanted @ share > BROAD_SHARE
             yield pd.DataFrame(
                 {
                     "left_id": batch["left_id"],
                     "domain": batch["domain"],
                     "embedding": batch["embedding"],
-                    "visit": [numbers[row].tolist() for row in open_buckets],
+                    "broad": broad,
+                    "visit": [[] if b else numbers[row].tolist() for row, b in zip(wanted, broad)],
                 }
             )
 
     fields = {f.name: f.dataType.simpleString() for f in searched.schema}
     schema = (
-        f"left_id bigint, domain {fields['domain']}, embedding {fields['embedding']}, visit array<int>"
+        f"left_id bigint, domain {fields['domain']}, embedding {fields['embedding']}, "
+        "broad boolean, visit array<int>"
     )
     probes = searched.join(limits, "left_id", "left").mapInPandas(visits, schema)
-    probes = materialize(spark, probes, "probes").select(
-        "left_id", "domain", "embedding", F.explode("visit").alias("bucket")
+    probes = materialize(spark, probes, "probes")
+    columns = ["left_id", "domain", "embedding"]
+    everyone = candidates.drop("angle")
+    narrow = probes.where(~F.col("broad")).select(*columns, F.explode("visit").alias("bucket"))
+    far = score_grid(narrow, everyone, _cosine_cell(k), block_rows, block_rows)
+    broad = probes.where("broad").select(*columns, F.lit(0).alias("bucket"))
+    all_over = score_grid(
+        broad, everyone.withColumn("bucket", F.lit(0)), _cosine_cell(k), block_rows, block_rows
     )
-    far = score_grid(probes, candidates.drop("angle"), _cosine_cell(k), block_rows, block_rows)
-    return near.drop("rank").unionByName(far)
+    # A broad search has met its own bucket again, so its first results go.
+    near = near.drop("rank").join(probes.where("broad").select("left_id"), "left_id", "left_anti")
+    return near.unionByName(far).unionByName(all_over)
 
 
 def vector_check(vectors: DataFrame) -> DataFrame:

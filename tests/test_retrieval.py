@@ -37,8 +37,10 @@ def answers(df):
     return {(r.article_id, r.neighbour_id, round(r.cosine, 6), r["rank"]) for r in df.collect()}
 
 
+@pytest.mark.parametrize("broad_share", [0.0, 0.5, 2.0])
 @pytest.mark.parametrize("buckets, block_rows", [(1, 4096), (1, 16), (7, 4096), (24, 8)])
-def test_top_k_equals_brute_force(spark, buckets, block_rows):
+def test_top_k_equals_brute_force(spark, monkeypatch, buckets, block_rows, broad_share):
+    monkeypatch.setattr(RE, "BROAD_SHARE", broad_share)
     rows = clustered()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
     out = answers(RE.retrieve_top_k(df, 4, buckets=buckets, block_rows=block_rows))
