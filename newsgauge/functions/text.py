@@ -144,6 +144,14 @@ def verdict_fields(raw: Column, wrapped: Column) -> Column:
     )
 
 
+def verdict_sources(wrapped: Column) -> Column:
+    """Struct of the optional source lists in a ``verdict_object``; null where absent."""
+    names = ["supporting_sources", "contradicting_sources"]
+    return F.struct(
+        *[F.try_variant_get(wrapped, f"$.body.{n}", "array<string>").alias(n) for n in names]
+    )
+
+
 def page_title(html: Column) -> Column:
     return F.regexp_extract(html, r"(?is)<title>(.*?)</title>", 1)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
@@ -65,7 +66,8 @@ def kmeans_labels(
     data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
 
     def fit(s: int):
-        model = KMeans(k=2, seed=s, maxIter=300, tol=1e-4).fit(data)
+        # Stops where the centres' squared moves add up to at most 1e-4 (variances are 1).
+        model = KMeans(k=2, seed=s, maxIter=300, tol=math.sqrt(1e-4 / 2)).fit(data)
         return -model.summary.trainingCost, model
 
     try:
@@ -89,8 +91,11 @@ def gmm_labels(
     """Two Gaussian components, best of several starts, with the probability of each."""
     data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
 
+    n = data.count()
+
     def fit(s: int):
-        model = GaussianMixture(k=2, seed=s, maxIter=100, tol=1e-3).fit(data)
+        # Stops where the mean log-likelihood of a row gains less than 1e-3.
+        model = GaussianMixture(k=2, seed=s, maxIter=100, tol=1e-3 * n).fit(data)
         return model.summary.logLikelihood, model
 
     try:

@@ -94,16 +94,15 @@ def exact_cuts(
 def _counts(data: DataFrame, searches: dict) -> dict[object, dict[int, int]]:
     """Per search the number of rows per bin of its range, or per value where few are left."""
     cuts = list(searches)
-    entries, anywhere = [], F.lit(False)
+    entries = []
     for i, (g, r) in enumerate(cuts):
         s = searches[g, r]
         inside = (F.col("g") == g) & F.col("v").between(s.lo, s.hi)
         bin_number = F.expr("v" if s.exact() else f"(v - ({s.lo}L)) div {s.width()}L")
-        anywhere = anywhere | inside
         entries.append(F.when(inside, F.struct(F.lit(i).alias("cut"), bin_number.alias("bin"))))
+    # Not filtered beforehand: a pushed-down filter would compute the value once more.
     rows = (
-        data.where(anywhere)
-        .select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
+        data.select(F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
         .groupBy("cut", "bin")
         .count()
         .collect()

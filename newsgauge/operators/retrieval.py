@@ -81,29 +81,21 @@ def retrieve_top_k(
     )
     copy_key = ["domain", "c1", "c2"]
     copies_of = materialize(spark, keyed.select("article_id", *copy_key), "vector-keys")
-    first = first_ids(keyed, copy_key, "article_id", k).drop("place")
+    first = first_ids(keyed, copy_key, "article_id", k).withColumnRenamed("article_id", "id")
     first = materialize(spark, first, "vectors")
-    searches = first.groupBy(*copy_key).agg(
-        F.min("article_id").alias("left_id"),
-        F.min_by("embedding", "article_id").alias("embedding"),
-    )
-    candidates = first.select(F.col("article_id").alias("right_id"), "domain", "embedding")
-    searched = searches.select("left_id", "domain", "embedding")
 
-    n, size = candidates.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    n, size = first.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
     if buckets is None:
         buckets = 1 if n <= BUCKETS_FROM else min(
             MAX_PIVOTS, 2 * math.isqrt(n), max(1, PIVOT_BYTES // (8 * size))
         )
     if buckets <= 1:
-        scored = score_grid(
-            searched.withColumn("bucket", F.lit(0)), candidates.withColumn("bucket", F.lit(0)),
-            _cosine_cell(k), block_rows, block_rows,
-        )
+        rows = first.withColumn("bucket", F.lit(0))
+        scored = score_grid(_searches(rows), _candidates(rows), _cosine_cell(k), block_rows, block_rows)
     else:
-        scored = _bucketed(searched, candidates, k, n, buckets, block_rows)
-    best = top_k(scored, k).join(searches.drop("embedding"), "left_id")
-    answers = best.select(
+        scored = _bucketed(first, k, n, buckets, block_rows)
+    keys = first.select(F.col("id").alias("left_id"), *copy_key)
+    answers = top_k(scored, k).join(keys, "left_id").select(
         *copy_key, F.col("right_id").alias("neighbour_id"), F.col("score").alias("cosine"), "rank"
     )
     answers = materialize(spark, answers, "answers")
@@ -113,15 +105,24 @@ def retrieve_top_k(
     )
 
 
-def _bucketed(
-    searched: DataFrame, candidates: DataFrame, k: int, n: int, buckets: int, block_rows: int
-) -> DataFrame:
-    spark = searched.sparkSession
+def _searches(rows: DataFrame) -> DataFrame:
+    """One row per vector and domain: its smallest id searches for all copies."""
+    return rows.where(F.col("place") == 1).select(
+        F.col("id").alias("left_id"), "domain", "embedding", "bucket"
+    )
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("id").alias("right_id"), "domain", "embedding", "bucket")
+
+
+def _bucketed(first: DataFrame, k: int, n: int, buckets: int, block_rows: int) -> DataFrame:
+    spark = first.sparkSession
     every = max(1, n // (2 * buckets))
-    chosen = candidates.where(F.pmod(F.xxhash64("right_id"), F.lit(every)) == 0).limit(buckets)
+    chosen = first.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(buckets)
     sample = chosen.select("embedding").toPandas()
     if sample.empty:
-        sample = candidates.select("embedding").limit(1).toPandas()
+        sample = first.select("embedding").limit(1).toPandas()
     # At most MAX_PIVOTS vectors and PIVOT_BYTES bytes.
     pivots = spark.sparkContext.broadcast(_unit_rows(sample["embedding"]))
 
@@ -133,20 +134,18 @@ def _bucketed(
                 angle = np.arccos(np.clip(scores.max(axis=1), -1.0, 1.0))
                 yield batch.assign(bucket=nearest.astype("int32"), angle=angle)
 
-    def assigned(df: DataFrame) -> DataFrame:
-        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema)
-        return df.mapInPandas(assign, f"{schema}, bucket int, angle double")
-
-    candidates = materialize(spark, assigned(candidates), "candidates")
-    searched = materialize(spark, assigned(searched).drop("angle"), "searches")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
+    rows = first.mapInPandas(assign, f"{schema}, bucket int, angle double")
+    rows = materialize(spark, rows, "buckets")
+    searched, candidates = _searches(rows), _candidates(rows)
 
-    near = score_grid(searched, candidates.drop("angle"), _cosine_cell(k), block_rows, block_rows)
+    near = score_grid(searched, candidates, _cosine_cell(k), block_rows, block_rows)
     near = materialize(spark, top_k(near, k), "near")
     limits = near.where(F.col("rank") == k).select("left_id", F.col("score").alias("limit"))
 
     # One row per bucket.
     ranges = (
-        candidates.groupBy("bucket")
+        rows.groupBy("bucket")
         .agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
         .toPandas()
         .sort_values("bucket")
@@ -183,12 +182,11 @@ def _bucketed(
     probes = searched.join(limits, "left_id", "left").mapInPandas(visits, schema)
     probes = materialize(spark, probes, "probes")
     columns = ["left_id", "domain", "embedding"]
-    everyone = candidates.drop("angle")
     narrow = probes.where(~F.col("broad")).select(*columns, F.explode("visit").alias("bucket"))
-    far = score_grid(narrow, everyone, _cosine_cell(k), block_rows, block_rows)
+    far = score_grid(narrow, candidates, _cosine_cell(k), block_rows, block_rows)
     broad = probes.where("broad").select(*columns, F.lit(0).alias("bucket"))
     all_over = score_grid(
-        broad, everyone.withColumn("bucket", F.lit(0)), _cosine_cell(k), block_rows, block_rows
+        broad, candidates.withColumn("bucket", F.lit(0)), _cosine_cell(k), block_rows, block_rows
     )
     # A broad search has met its own bucket again, so its first results go.
     near = near.drop("rank").join(probes.where("broad").select("left_id"), "left_id", "left_anti")

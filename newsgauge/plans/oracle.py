@@ -399,6 +399,10 @@ BODIES = {
         WHERE article_id NOT IN (SELECT doc_id FROM labels)""",
     "score_batch": """SELECT article_id, task, emotion,
         'Score: 0.' || CAST(length(prompt) % 97 AS varchar) AS raw, 'ok' AS status FROM prompts""",
+    "embed_batch": f"""SELECT article_id, CAST(2 AS int) AS dims, CAST({len(V.VREG_PROMPT) - 6} + CASE
+        WHEN length(full_text) <= 106 THEN length(full_text)
+        WHEN length(left(full_text, 150)) <= 106 THEN length(left(full_text, 150))
+        ELSE 80 END AS double) AS first, 'ok' AS status FROM cleaned""",
     "clean_sentinel": "SELECT * FROM no_sentinel",
     "null_profile": """SELECT * FROM (SELECT unnest(['article_id', 'source', 'title', 'label', 'note'])
         AS column_name, unnest([avg(CAST(article_id IS NULL AS int)), avg(CAST(source IS NULL AS int)),
@@ -478,6 +482,9 @@ BODIES = {
     "retrieve_top4": "SELECT article_id, neighbour_id, cosine, rank FROM neighbours",
     "evidence_top_k": "SELECT article_id, page_id, score, rank FROM matches",
     "evidence_text": "SELECT article_id, evidence_text, sources FROM evidence",
+    "search_evidence": f"""SELECT page_id AS article_id, title AS answer, url AS sources,
+        {template(V.SNIPPET, url='url', title='title', content='left(content, 800)')} AS evidence_text
+        FROM corpus""",
     "verdict_prompt": f"""SELECT c.article_id, {quoted(V.VERDICT_INSTRUCTION)} || chr(10) || chr(10) ||
         {template(V.VERDICT_MESSAGE, article='full_text', summary="''", evidence='evidence_text')}
         AS prompt FROM cleaned c LEFT JOIN evidence e ON c.article_id = e.article_id""",

@@ -139,6 +139,24 @@ def score_batch(spark, sf_dir):
     return SC.score_batch(prompts, LengthScorer)
 
 
+class LengthEmbedder:
+    """Stands in for an embedding model that takes short prompts only."""
+
+    def __call__(self, prompt):
+        if len(prompt) > len(V.VREG_PROMPT) + 100:
+            raise RuntimeError("context too long")
+        return [float(len(prompt)), 1.0]
+
+
+@query
+def embed_batch(spark, sf_dir):
+    inputs = PR.embedding_inputs(views.cleaned_articles(spark, sf_dir))
+    return SC.embed_batch(inputs, LengthEmbedder).select(
+        "article_id", F.size("embedding").alias("dims"),
+        F.element_at("embedding", 1).cast("double").alias("first"), "status",
+    )
+
+
 @query
 def stream_scores(spark, sf_dir):
     source, output, checkpoint = (new_path(spark, n) for n in ("incoming", "scores", "progress"))
@@ -482,6 +500,16 @@ def evidence_text(spark, sf_dir):
     return _evidence(spark, sf_dir).withColumn("sources", joined(F.col("sources")))
 
 
+@query
+def search_evidence(spark, sf_dir):
+    """Each page as the only result of a search, its title as the answer."""
+    record = F.struct("url", "title", "content")
+    responses = views.evidence_corpus(spark, sf_dir).select(
+        F.col("page_id").alias("article_id"), F.col("title").alias("answer"), F.array(record).alias("results")
+    )
+    return EV.search_evidence(responses).withColumn("sources", joined(F.col("sources")))
+
+
 @query
 def verdict_prompt(spark, sf_dir):
     articles = views.cleaned_articles(spark, sf_dir).select("article_id", "full_text")

@@ -102,6 +102,14 @@ def test_evidence_text_and_empty_evidence(spark):
     assert rows[8].evidence_text == "" and rows[8].sources == []
 
 
+def test_search_evidence(spark):
+    schema = "article_id long, answer string, results array<struct<url string, title string, content string>>"
+    rows = [(1, "yes", [("u", "t", "c"), ("v", None, "d" * 900)]), (2, None, []), (3, None, None)]
+    out = EV.search_evidence(spark.createDataFrame(rows, schema)).orderBy("article_id").collect()
+    assert out[0].evidence_text == "Source: u\nTitle:  t\nText:   c\n\n---\n\nSource: v\nTitle:  \nText:   " + "d" * 800
+    assert [(r.sources, r.answer) for r in out] == [(["u", "v"], "yes"), ([], ""), ([], "")]
+
+
 def test_verified_article_keeps_articles_without_evidence(spark):
     articles = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "article_id long, title string")
     queries = spark.createDataFrame([(1, "q")], "article_id long, query string")

@@ -145,3 +145,9 @@ def test_snippet_and_prompts(spark):
     assert rows[3].prompt.endswith(f"Text: {short}\nEmotion: fear\nIntensity Score:\n\nA:\n>>")
     candidates = PR.embedding_inputs(article).first().candidates
     assert [len(c) for c in candidates] == [len(V.VREG_PROMPT) - 6 + n for n in (250, 150, 80)]
+
+
+def test_verdict_sources(spark):
+    raws = ['x {"verdict": "A", "supporting_sources": ["u", "v"], "contradicting_sources": []}', "none"]
+    out = apply(spark, raws, lambda c: TX.verdict_sources(TX.verdict_object(c)))
+    assert [tuple(r) for r in out] == [(["u", "v"], []), (None, None)]
