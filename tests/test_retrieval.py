@@ -60,6 +60,12 @@ def test_fewer_candidates_than_k(spark):
     assert answers(RE.retrieve_top_k(df, 4)) == brute_force(rows, 4)
 
 
+def test_unusable_vectors_take_no_part(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1]), (3, "b", [float("nan"), 1.0]), (4, "b", [0.0, 0.0]), (5, "b", None)]
+    out = RE.retrieve_top_k(spark.createDataFrame(rows, SCHEMA), 4).collect()
+    assert sorted((r.article_id, r.neighbour_id) for r in out) == [(1, 2), (2, 1)]
+
+
 def test_one_domain_has_no_neighbours(spark):
     df = spark.createDataFrame([(1, "a", [1.0]), (2, "a", [2.0])], SCHEMA)
     assert RE.retrieve_top_k(df, 4).count() == 0
