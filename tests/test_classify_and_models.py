@@ -33,7 +33,8 @@ def test_standardize_uses_population_std(spark):
 
 
 def test_standardize_constant_and_null(spark):
-    df = spark.createDataFrame([(1, "fake", 0.3, 0.1, None, 0.0, 1.0), (2, "real", 0.3, 0.3, 0.5, 0.0, 0.0)], SCHEMA)
+    rows = [(1, "fake", 0.3, 0.1, None, 0.0, 1.0), (2, "real", 0.3, 0.3, 0.5, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
     rows = [tuple(r)[2:] for r in CL.standardize(df).orderBy("article_id").collect()]
     assert rows[0] == pytest.approx((0.0, -1.0, None, 0.0, 1.0))
     assert rows[1] == pytest.approx((0.0, 1.0, 0.0, 0.0, -1.0))
@@ -48,12 +49,13 @@ def test_distance_and_nearest_centroid_agree(spark):
     out = CL.affective_distance(df).orderBy("article_id").collect()
     assert [r.affective_score for r in out] == pytest.approx(to_real / (to_real + to_fake), abs=5.1e-5)
     assert [r.dist_to_fake for r in out] == pytest.approx(to_fake, abs=5.1e-5)
-    near = CL.nearest_centroid(df).orderBy("article_id").collect()
-    assert [r.pred for r in near] == [int(r.cluster_pred == "fake") for r in out] == (to_fake < to_real).astype(int).tolist()
+    near = [r.pred for r in CL.nearest_centroid(df).orderBy("article_id").collect()]
+    assert near == [int(r.cluster_pred == "fake") for r in out]
+    assert near == (to_fake < to_real).astype(int).tolist()
 
 
 def test_equal_distances_are_real(spark):
-    df = spark.createDataFrame([(1, "fake", 0.2, 0.2, 0.2, 0.2, 0.2), (2, "real", 0.2, 0.2, 0.2, 0.2, 0.2)], SCHEMA)
+    df = spark.createDataFrame([(1, "fake", *[0.2] * 5), (2, "real", *[0.2] * 5)], SCHEMA)
     rows = CL.affective_distance(df).collect()
     assert {(r.affective_score, r.cluster_pred) for r in rows} == {(None, "real")}
 
@@ -107,7 +109,8 @@ def test_nearest_centroid_cv(spark, scale):
 
 def test_report(spark):
     pairs = [(1, 1)] * 6 + [(1, 0)] * 2 + [(0, 1)] * 3 + [(0, 0)] * 9
-    out = {r["class"]: r for r in CL.classification_report(spark.createDataFrame(pairs, "y int, pred int")).collect()}
+    report = CL.classification_report(spark.createDataFrame(pairs, "y int, pred int"))
+    out = {r["class"]: r for r in report.collect()}
     assert (out["fake"].precision, out["fake"].recall, out["fake"].support) == (6 / 9, 6 / 8, 8)
     assert (out["real"].precision, out["real"].recall, out["real"].support) == (9 / 11, 9 / 12, 12)
     fake = 2 * (6 / 9) * 0.75 / (6 / 9 + 0.75)
@@ -171,7 +174,8 @@ def test_saved_model_gives_the_same_answers(spark):
 
 def test_single_record(spark):
     _, df = table(spark)
-    record = spark.createDataFrame([(0.391, 0.458, 0.458, 0.2, 0.421)], ", ".join(f"{f} double" for f in V.FEATURES))
+    schema = ", ".join(f"{f} double" for f in V.FEATURES)
+    record = spark.createDataFrame([(0.391, 0.458, 0.458, 0.2, 0.421)], schema)
     row = MO.classify_affect(MO.train_classifier(df), record).first()
     assert row.affect_pred in V.LABELS and 0.5 <= row.affect_confidence <= 1.0
 
@@ -187,7 +191,7 @@ def test_logreg_cv(spark):
 def test_kmeans(spark):
     rows, df = table(spark)
     out = MO.kmeans_labels(df, restarts=3).orderBy("article_id").collect()
-    assert [tuple(r) for r in out] == [tuple(r) for r in MO.kmeans_labels(df, restarts=3).orderBy("article_id").collect()]
+    assert out == MO.kmeans_labels(df, restarts=3).orderBy("article_id").collect()
     share = {c: np.mean([r.label == "fake" for r in out if r.cluster == c]) for c in (0, 1)}
     fake_cluster = 0 if share[0] > share[1] else 1
     assert all(r.pred == int(r.cluster == fake_cluster) for r in out)
@@ -223,6 +227,7 @@ def test_vote_tie_goes_to_cluster_one(spark):
 
 def test_method_summary(spark):
     pairs = [("a", 1, 1), ("a", 0, 0), ("b", 1, 0), ("b", 0, 0)]
-    out = {r.method: r for r in CL.method_summary(spark.createDataFrame(pairs, "method string, y int, pred int")).collect()}
+    predictions = spark.createDataFrame(pairs, "method string, y int, pred int")
+    out = {r.method: r for r in CL.method_summary(predictions).collect()}
     assert (out["a"].f1_weighted, out["a"].accuracy) == (1.0, 1.0)
     assert out["b"].accuracy == 0.5 and out["b"].f1_weighted == pytest.approx((2 / 3) / 2)

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import vectors as VE
 from newsgauge.operators import retrieval as RE
+from newsgauge.operators import skew as SK
 
 SCHEMA = "article_id long, domain string, embedding array<float>"
 
@@ -47,9 +48,18 @@ def test_top_k_equals_brute_force(spark, monkeypatch, buckets, block_rows, broad
     assert out == brute_force(rows, 4)
 
 
+def test_hot_copies_take_the_broadcast_side(spark, monkeypatch):
+    monkeypatch.setattr(SK, "HOT_ROWS", 1)
+    monkeypatch.setattr(SK, "HOT_KEYS", 3)
+    rows = clustered()
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert answers(RE.retrieve_top_k(df, 4)) == brute_force(rows, 4)
+
+
 def test_spread_vectors_need_all_buckets(spark):
     rng = np.random.default_rng(2)
-    rows = [(i, f"d{i % 2}", [float(x) for x in np.float32(rng.normal(size=16))]) for i in range(120)]
+    vectors = np.float32(rng.normal(size=(120, 16))).tolist()
+    rows = [(i, f"d{i % 2}", v) for i, v in enumerate(vectors)]
     df = spark.createDataFrame(rows, SCHEMA)
     assert answers(RE.retrieve_top_k(df, 3, buckets=10)) == brute_force(rows, 3)
 
@@ -61,7 +71,8 @@ def test_fewer_candidates_than_k(spark):
 
 
 def test_unusable_vectors_take_no_part(spark):
-    rows = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1]), (3, "b", [float("nan"), 1.0]), (4, "b", [0.0, 0.0]), (5, "b", None)]
+    rows = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1]), (3, "b", [float("nan"), 1.0])]
+    rows += [(4, "b", [0.0, 0.0]), (5, "b", None)]
     out = RE.retrieve_top_k(spark.createDataFrame(rows, SCHEMA), 4).collect()
     assert sorted((r.article_id, r.neighbour_id) for r in out) == [(1, 2), (2, 1)]
 
@@ -85,8 +96,10 @@ def test_invariants(spark, sf_dir):
 
 
 def test_vector_functions(spark):
-    df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])], "a array<float>, b array<float>")
-    rows = df.select(VE.norm("a").alias("n"), VE.cosine(F.col("a"), F.col("b")).alias("c"), VE.unit(F.col("a")).alias("u")).collect()
+    pairs = [([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0])]
+    df = spark.createDataFrame(pairs, "a array<float>, b array<float>")
+    a, b = F.col("a"), F.col("b")
+    rows = df.select(VE.norm(a).alias("n"), VE.cosine(a, b).alias("c"), VE.unit(a).alias("u")).collect()
     assert [r.n for r in rows] == [5.0, 0.0]
     assert rows[0].c == pytest.approx(0.96) and rows[1].c is None
     assert rows[0].u == pytest.approx([0.6, 0.8]) and rows[1].u is None
@@ -94,6 +107,8 @@ def test_vector_functions(spark):
 
 def test_mean_pool(spark):
     tokens = [[1.0, 2.0], [3.0, 4.0], [5.0, 9.0]]
-    df = spark.createDataFrame([(tokens, [tokens, tokens])], "t array<array<float>>, s array<array<array<float>>>")
-    row = df.select(VE.mean_pool(F.col("t")).alias("t"), VE.mean_pool_nested(F.col("s")).alias("s")).first()
+    schema = "t array<array<float>>, s array<array<array<float>>>"
+    df = spark.createDataFrame([(tokens, [tokens, tokens])], schema)
+    t, s = VE.mean_pool(F.col("t")), VE.mean_pool_nested(F.col("s"))
+    row = df.select(t.alias("t"), s.alias("s")).first()
     assert row.t == [3.0, 5.0] and row.s == [3.0, 5.0]

@@ -132,10 +132,10 @@ def test_crosstabs_sum_to_labels(spark, random_rows):
 
 
 def test_means(spark, random_rows):
-    out = {(r.source, r.label): r.eireg_joy for r in ST.mean_affect(make(spark, random_rows), ["source", "label"], digits=9).collect()}
-    for (source, label), value in out.items():
-        xs = [r["joy"] for r in random_rows if (r["source"], r["label"]) == (source, label) and r["joy"] is not None]
-        assert value == pytest.approx(np.mean(xs))
+    for row in ST.mean_affect(make(spark, random_rows), ["source", "label"], digits=9).collect():
+        group = [r for r in random_rows if (r["source"], r["label"]) == (row.source, row.label)]
+        xs = [r["joy"] for r in group if r["joy"] is not None]
+        assert row.eireg_joy == pytest.approx(np.mean(xs))
 
 
 @pytest.mark.parametrize("column, name", [("anger", "eireg_anger"), ("vreg", "vreg")])
