@@ -63,7 +63,7 @@ def retrieve_top_k(
     """Per article the k most similar articles of other domains: exact, ties by id.
 
     Takes ``article_id, domain, embedding``; gives ``article_id, neighbour_id, cosine, rank``.
-    Null and zero vectors and those with a NaN take no part.
+    Null and zero vectors, those with a NaN, and rows without a domain take no part.
 
     Copies of a vector within a domain share one search, and only their k smallest ids can be
     neighbours, so copies are collapsed first. Small tables are compared in one grid of
@@ -75,7 +75,8 @@ def retrieve_top_k(
     spark = vectors.sparkSession
     length = norm(F.col("embedding"))
     # NaN is above infinity.
-    usable = vectors.where((length > 0) & (length <= F.lit(math.inf)))
+    known = F.col("domain").isNotNull()
+    usable = vectors.where(known & (length > 0) & (length <= F.lit(math.inf)))
     keyed = usable.select(
         "article_id", "domain", "embedding",
         F.xxhash64("embedding").alias("c1"),

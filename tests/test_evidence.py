@@ -62,9 +62,9 @@ def answers(df):
     return {(r.article_id, r.page_id, round(r.score, 5), r["rank"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("block_rows", [2048, 11])
-def test_grid_equals_brute_force(spark, corpus, block_rows):
-    out = EV.evidence_top_k(*frames(spark, corpus), k=5, block_rows=block_rows)
+@pytest.mark.parametrize("block_rows, seed", [(2048, 0), (11, 5)])
+def test_grid_equals_brute_force(spark, corpus, block_rows, seed):
+    out = EV.evidence_top_k(*frames(spark, corpus), k=5, block_rows=block_rows, seed=seed)
     assert answers(out) == brute_force(*corpus, 5)
 
 
@@ -114,6 +114,15 @@ def test_evidence_text_and_empty_evidence(spark):
     assert rows[8].evidence_text == "" and rows[8].sources == []
 
 
+def test_missing_texts(spark):
+    articles = spark.createDataFrame([(1, "alpha beta"), (2, None)], "article_id long, text string")
+    rows = [(i, None if i % 2 else f"alpha{i}") for i in range(9)] + [(9, "alpha")]
+    pages = spark.createDataFrame(rows, "page_id long, content string")
+    out = EV.evidence_top_k(articles, pages).collect()
+    # One of ten pages has the token.
+    assert [(r.article_id, r.page_id, r.score) for r in out] == [(1, 9, round(math.log(10), 6))]
+
+
 def test_search_evidence(spark):
     schema = "article_id long, answer string, results array<struct<url string, title string, content string>>"
     rows = [(1, "yes", [("u", "t", "c"), ("v", None, "d" * 900)]), (2, None, []), (3, None, None)]
@@ -153,7 +162,7 @@ def test_assembled_inputs_are_in_rank_order(spark):
 
 
 def test_shared_key_of_two_tokens_is_an_error(spark, monkeypatch):
-    def one_key(text):
+    def one_key(text, seed):
         one = F.lit(1).cast("bigint").alias("key")
         return F.transform(EV.tokens(text), lambda t: F.struct(one, F.hash(t).alias("check")))
 

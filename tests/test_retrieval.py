@@ -72,7 +72,7 @@ def test_fewer_candidates_than_k(spark):
 
 def test_unusable_vectors_take_no_part(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "b", [1.0, 0.1]), (3, "b", [float("nan"), 1.0])]
-    rows += [(4, "b", [0.0, 0.0]), (5, "b", None)]
+    rows += [(4, "b", [0.0, 0.0]), (5, "b", None), (6, None, [1.0, 0.0])]
     out = RE.retrieve_top_k(spark.createDataFrame(rows, SCHEMA), 4).collect()
     assert sorted((r.article_id, r.neighbour_id) for r in out) == [(1, 2), (2, 1)]
 
