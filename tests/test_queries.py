@@ -8,6 +8,8 @@ import pytest
 
 import __spark_entry__ as E
 from newsgauge.functions import fixed_values as V
+from newsgauge.plans.oracle import ORACLE
+from newsgauge.plans.registry import QUERIES
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -33,7 +35,7 @@ def table(rows, order):
     return sorted(tuple(cell(row[i]) for i in order) for row in rows)
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_equals_sql(spark, sf_dir, duck, name):
     df = E.queries()[name](spark, sf_dir)
     cursor = duck.execute(E.oracle_sql()[name])
@@ -52,7 +54,7 @@ def test_query_without_sql_runs(spark, sf_dir, name):
 
 def test_every_sql_has_a_query():
     assert set(E.oracle_sql()) <= set(E.queries())
-    assert set(E.queries()) - set(E.oracle_sql()) == {
+    assert set(QUERIES) - set(ORACLE) == {
         "model_roundtrip", "method_summary", "kmeans_labels", "gmm_labels", "logreg_cv",
         "logreg_weights", "classify_affect",
     }
@@ -64,6 +66,6 @@ def test_entry(spark):
 
 
 def test_queries_use_whole_tables():
-    for name, sql in E.oracle_sql().items():
+    for name, sql in ORACLE.items():
         limits = re.findall(r"LIMIT \d+", sql)
         assert not limits or name in ("table_head", "sample_n"), name
