@@ -17,12 +17,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.blocks import Block, blocks, distinct_per_text, mix, shingles
-from newsgauge.session import materialize
+from newsgauge.llm.blocks import Block, blocks, mix, shingles
 
 WORDS = 5
 PERMUTATIONS = 128
@@ -69,76 +67,65 @@ FINGERPRINTED = pa.schema([
     ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()),
     ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()),
     ("near_edited", pa.float64()), ("near_next", pa.float64()),
-    ("part", pa.int32()), ("place", pa.int32()), ("text", pa.string()),
 ])
 _RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, " \
     "edited_fingerprint string, near_edited double, near_next double"
 
 
-def _compared(ids: list, texts: list[str]) -> list[list]:
-    """Result columns of ``texts[:-1]``, each compared with its successor in the list."""
+def edited_text(text: str, after: str) -> str:
+    """The last third of the code points gives way to as many of the next text's first ones."""
+    cut = len(text) // 3
+    return text[: len(text) - cut] + after[:cut]
+
+
+def _compared(ids: list, texts: list[str], judged: np.ndarray) -> pa.RecordBatch:
+    """Results of the texts at ``judged``, each compared with its successor in the list."""
     signature = signatures(*shingles(Block.of(texts), WORDS))
-    edited = []
-    for text, after in zip(texts, texts[1:]):
-        cut = len(text) // 3
-        edited.append(text[: len(text) - cut] + after[:cut])
-    edited_signature = signatures(*shingles(Block.of(edited), WORDS))
-    own = signature[:-1]
-    return [
-        ids[:-1],
-        [len(t) for t in texts[:-1]],
+    edited = [edited_text(texts[i], texts[i + 1]) for i in judged]
+    changed = signatures(*shingles(Block.of(edited), WORDS))
+    own, after = signature[judged], signature[judged + 1]
+    values = [
+        [ids[i] for i in judged],
+        [len(texts[i]) for i in judged],
         [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
         _hex(own),
-        _hex(edited_signature),
-        (own == edited_signature).mean(axis=1).tolist(),
-        (own == signature[1:]).mean(axis=1).tolist(),
+        _hex(changed),
+        (own == changed).mean(axis=1),
+        (own == after).mean(axis=1),
     ]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(v, f.type) for v, f in zip(values, FINGERPRINTED)], schema=FINGERPRINTED
+    )
 
 
 def _fingerprint_sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare neighbours of a sorted partition; its first text and its last one are passed on
-    (``place`` 1 and 2), as the last one's successor opens another partition."""
-    part = TaskContext.get().partitionId()
+    """Compare neighbours of a sorted partition. Every range ends with a guest, the first text of
+    the next range, which is only looked at."""
     ids: list = []
     texts: list[str] = []
-
-    def edge(place: int) -> pa.RecordBatch:
-        row = [[ids[0]], [None], [None], [None], [None], [None], [None], [part], [place], [texts[0]]]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(v, f.type) for v, f in zip(row, FINGERPRINTED)], schema=FINGERPRINTED
-        )
-
+    guests: list[bool] = []
     for batch in batches:
         for rows, _ in blocks(batch):
-            fresh = not texts
             ids += rows.column(0).to_pylist()
-            texts += [t or "" for t in rows.column(1).to_pylist()]
-            if fresh:
-                yield edge(1)
-            if len(texts) > 1:
-                values = _compared(ids, texts)
-                n = len(texts) - 1
-                values += [[part] * n, [0] * n, [None] * n]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, f.type) for v, f in zip(values, FINGERPRINTED)],
-                    schema=FINGERPRINTED,
-                )
-            ids, texts = ids[-1:], texts[-1:]
-    if texts:
-        yield edge(2)
-
-
-def _fingerprint_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            values = _compared([row["doc_id"], None], [row["text"] or "", row["after"] or ""])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(v, f.type) for v, f in zip(values, FINGERPRINTED)],
-                schema=pa.schema(list(FINGERPRINTED)[:7]),
-            )
+            texts += rows.column(1).to_pylist()
+            guests += rows.column(2).to_pylist()
+            judged = np.flatnonzero(~np.array(guests[:-1], dtype=bool))
+            if len(judged):
+                yield _compared(ids, texts, judged)
+            ids, texts, guests = ids[-1:], texts[-1:], guests[-1:]
+
+
+def _search(key: Column, heads: list[int], lo: int, hi: int) -> Column:
+    """The number of the last of the descending heads that is not below the key."""
+    if hi - lo == 1:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(key <= F.lit(heads[mid]), _search(key, heads, mid, hi)).otherwise(
+        _search(key, heads, lo, mid)
+    )
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Fingerprint of every text and of its edited text, and their likeness.
 
     The edited text has the last third of its code points replaced by as many of the next
@@ -146,31 +133,38 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     doc_id; after the smallest comes the largest. Rows of equal doc_id follow each other by
     text; a null doc_id counts as the smallest. A single document is its own next one.
 
-    The texts are shuffled once, by ranges of doc_id. Neighbours then lie side by side, and only
-    the first and last text of each partition meet in a small join.
+    The ids alone are sorted first and cut into ranges; only the largest id of each range goes to
+    the driver. The texts are then shuffled once, by range, and the first text of each range also
+    goes to the range before, so every text meets its successor.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text")]
-    schema = f"{_RESULT}, part int, place int, text string"
-    found = materialize(
-        docs.sparkSession,
-        rows.repartitionByRange(*order).sortWithinPartitions(*order)
-        .mapInArrow(_fingerprint_sorted, schema),
-        "fingerprints",
-    )
-    # Two rows a partition: the opening texts, in order, and each last text's successor.
-    opening = found.where("place = 1").select("part", F.col("text").alias("after"))
-    ends = found.where("place = 2").select("doc_id", "text", "part")
-    numbered = opening.select("part", "after").withColumn(
-        "number", F.row_number().over(Window.orderBy("part"))
+    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
+    ranges = ranges or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = (
+        rows.select(key.alias("key"))
+        .repartitionByRange(ranges, F.desc("key"))
+        .groupBy(F.spark_partition_id())
+        .agg(F.max("key").alias("head"))
+        .collect()
     )
-    total = opening.agg(F.count(F.lit(1)).alias("total"))
-    successor = ends.join(numbered.select("part", "number"), "part").join(F.broadcast(total)).select(
-        "doc_id", "text", (F.col("number") % F.col("total") + 1).alias("number")
+    heads = sorted({r["head"] for r in found}, reverse=True) or [0]
+    largest = F.element_at(F.lit(heads), F.col("range") + 1)
+    before = F.pmod(F.col("range") - 1, F.lit(len(heads)))
+    homes = F.when(
+        key == largest,
+        F.array(
+            F.struct(F.col("range").alias("range"), F.lit(False).alias("guest")),
+            F.struct(before.alias("range"), F.lit(True).alias("guest")),
+        ),
+    ).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(False).alias("guest"))))
+    return (
+        rows.withColumn("range", _search(key, heads, 0, len(heads)))
+        .select("doc_id", "text", F.explode(homes).alias("home"))
+        .select("doc_id", "text", "home.guest", "home.range")
+        .repartition(F.col("range"))
+        .sortWithinPartitions("range", "guest", F.col("doc_id").desc_nulls_last(), "text")
+        .mapInArrow(_fingerprint_sorted, _RESULT)
     )
-    last = successor.join(numbered.drop("part"), "number").select("doc_id", "text", "after")
-    closing = last.mapInArrow(_fingerprint_pairs, _RESULT)
-    return found.where("place = 0").select(*closing.columns).unionByName(closing)
