@@ -38,7 +38,7 @@ def _byte_values() -> np.ndarray:
 _powers: dict[str, np.ndarray] = {}
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
     have = _powers.get("up")
     if have is None or len(have) < n:
@@ -74,7 +74,7 @@ class Block:
     def span_hashes(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of each span; equal bytes have equal hashes anywhere."""
         n = len(self.data)
-        up, down = _power_tables(n + 1)
+        up, down = power_tables(n + 1)
         if self._sums is None:
             self._sums = np.zeros(n + 1, dtype=np.uint64)
             np.cumsum(_byte_values()[self.data] * up[:n], out=self._sums[1:])
