@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgauge.llm import jaccard_join, minhash, packing, quality, token_files
+from newsgauge.llm import jaccard_join, minhash, packing, private_data, quality, token_files
 from newsgauge.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +51,8 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")
     )
     return token_files.read_documents(spark, manifest)
+
+
+@query
+def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private_data.private_spans(table(spark, sf_dir, "documents"))
