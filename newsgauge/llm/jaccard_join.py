@@ -294,9 +294,10 @@ def jaccard_join(
         ).alias("n_blocks")
     )
     wanted = near.join(sizes, "root").select("node", "root", "n_blocks", "class_id")
+    # A few texts of all are wanted, but how many has no bound: shuffled, not broadcast.
     texts = (
         named.join(
-            wanted.withColumnRenamed("node", "class_node"),
+            wanted.withColumnRenamed("node", "class_node").hint("merge"),
             F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")),
         )
         .select("node", "root", "n_blocks", "text")
