@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgauge.llm import jaccard_join, minhash, packing, private_data, quality, token_files
+from newsgauge.llm import jaccard_join, minhash, packing, private_data, quality, token_files, url_rules
 from newsgauge.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,11 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private_data.private_spans(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+ORACLE["op4_url_filters"] = url_rules.ORACLE
