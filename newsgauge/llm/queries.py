@@ -11,7 +11,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgauge.llm import jaccard_join, minhash, packing, private_data, quality, token_files, url_rules
+from newsgauge.llm import jaccard_join, minhash, mixing, packing, private_data, quality, token_files, url_rules
 from newsgauge.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -64,3 +64,8 @@ def op4_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE["op4_url_filters"] = url_rules.ORACLE
+
+
+@query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
