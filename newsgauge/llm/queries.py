@@ -11,7 +11,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgauge.llm import jaccard_join, minhash, mixing, packing, private_data, quality, token_files, url_rules
+from newsgauge.llm import (
+    jaccard_join,
+    minhash,
+    mixing,
+    packing,
+    private_data,
+    quality,
+    token_counts,
+    token_files,
+    url_rules,
+)
 from newsgauge.plans.views import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +79,10 @@ ORACLE["op4_url_filters"] = url_rules.ORACLE
 @query
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
