@@ -1,32 +1,61 @@
 """A training-data pipeline over ``documents``: each stage applies one operator of newsgauge.llm.
 
 ``STAGES`` lists (name, function); a function takes (spark, docs, sf_dir) and returns a DataFrame,
-which is written as Parquet and read again as the next stage's docs.
+which is written as Parquet and read again as the next stage's docs. All but the last return the
+columns of documents.
 """
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from newsgauge.llm import quality
+from newsgauge.llm import jaccard_join, mixing, packing, private_data, quality
 from newsgauge.session import materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that neither the base rules nor their distance from their language reject."""
     return quality.keep(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of equal or linked documents, the one of smallest doc_id."""
+    return jaccard_join.keep_one(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with personal data replaced by its kind."""
+    return private_data.mask(docs)
+
+
+def domain_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose rate rounds to one: the present mix without the toxic domain."""
+    return mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where the pieces of each document lie in sequences of 1024 tokens."""
+    return packing.packed_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
 STAGES = [
     ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("personal_data", personal_data),
+    ("domain_mix", domain_mix),
+    ("best_fit_packing", best_fit_packing),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows; each stage's result is stored before the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = materialize(spark, stage(spark, docs, sf_dir), name)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
+# Signatures, span checks, fitted rates and tokenizers are beyond SQL; tests hold each stage
+# against a brute-force version.
 ORACLE_SQL = None

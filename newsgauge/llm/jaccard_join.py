@@ -232,15 +232,8 @@ def _link_cells(least: dict[int, int], threshold: Fraction):
     return run
 
 
-def jaccard_join(
-    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
-) -> DataFrame:
-    """``doc_id, class_id, n_copies, n_links, group_id``, one row per document.
-
-    class_id is the smallest doc_id of equal texts, n_copies their number besides the document,
-    n_links the number of different texts it is linked to, and group_id the smallest doc_id that
-    links and copies lead to.
-    """
+def _linked(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every document, and what is known of every node."""
     spark = docs.sparkSession
     least = least_matches(threshold, tolerance)
     named = docs.select(
@@ -316,16 +309,51 @@ def jaccard_join(
 
     counts = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
     roots = components(links.select("u", "v")).join(classes.select("node", "class_id"), "node")
-    groups = roots.join(
-        roots.groupBy("root").agg(F.min("class_id").alias("group_id")), "root"
-    ).select("node", "group_id")
+    # The smallest id of a group, and the text that has it.
+    leaders = roots.groupBy("root").agg(F.min(F.struct("class_id", "node")).alias("leader"))
+    groups = roots.join(leaders, "root").select("node", "leader")
     described = classes.select("node", "class_id", (F.col("rows") - 1).alias("n_copies")).join(
         counts, "node", "left"
     ).join(groups, "node", "left")
-    return sketches.select("doc_id", "node").join(described, "node").select(
+    return sketches.select("doc_id", "node"), described
+
+
+def jaccard_join(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """``doc_id, class_id, n_copies, n_links, group_id``, one row per document.
+
+    class_id is the smallest doc_id of equal texts, n_copies their number besides the document,
+    n_links the number of different texts it is linked to, and group_id the smallest doc_id that
+    links and copies lead to.
+    """
+    rows, described = _linked(docs, threshold, tolerance)
+    return rows.join(described, "node").select(
         "doc_id",
         "class_id",
         "n_copies",
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        F.coalesce("group_id", "class_id").alias("group_id"),
+        F.coalesce("leader.class_id", "class_id").alias("group_id"),
     )
+
+
+def keep_one(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """The row of smallest doc_id of each group of linked documents and copies, unchanged."""
+    _, described = _linked(docs, threshold, tolerance)
+    kept = described.where("leader is null or leader.node = node").select("node", "class_id")
+    return (
+        docs.select(
+            node_of(_text()).alias("_node"), F.col("doc_id").cast("long").alias("_id"),
+            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"),
+        )
+        .join(
+            kept.hint("merge"),
+            (F.col("_node") == F.col("node")) & F.col("_id").eqNullSafe(F.col("class_id")),
+            "left_semi",
+        )
+        .groupBy("_node")
+        .agg(F.first("_row").alias("_row"))
+        .select("_row.*")
+    )

@@ -35,6 +35,7 @@ DOMAINS = ("high", "low", "toxic")
 WEIGHTS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 SAMPLE = 20_000
 VOCABULARY = 128
+LEAST_RATIO = math.log(2)
 LEAST_DOCUMENTS = 5
 RIDGE = 1e-5
 MIX_RIDGE = 0.02
@@ -86,7 +87,7 @@ def labelled_domains(labels: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Model:
-    """Log priors of the domains, and for each word its log likelihood ratios."""
+    """For each domain the log odds of a text without any of the words, and what each adds."""
 
     prior: tuple[float, ...]
     words: tuple[str, ...]
@@ -127,20 +128,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     gain = sum(
         (F.col(d) * r for d, r in zip(DOMAINS[1:], ratios[1:])), F.col(DOMAINS[0]) * ratios[0]
     )
+    # Words that speak for a domain; a language's common words would only tell languages apart.
     best = (
         rows.select("domain", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(*by_domain())
-        .where(seen >= LEAST_DOCUMENTS)
-        .select("word", *[r.alias(f"r_{d}") for d, r in zip(DOMAINS, ratios)], gain.alias("gain"))
+        .where((seen >= LEAST_DOCUMENTS) & (F.greatest(*ratios) >= LEAST_RATIO))
+        .select("word", *[chance(d, k).alias(f"c_{d}") for k, d in enumerate(DOMAINS)], gain.alias("gain"))
         .orderBy(F.desc("gain"), "word")
         .limit(VOCABULARY)
         .collect()
-    )
+    )
+    absent = [sum(math.log(1 - r[f"c_{d}"]) for r in best) for d in DOMAINS]
     return Model(
-        tuple(math.log((n + 0.5) / (everything + 1.5)) for n in total),
+        tuple(math.log((n + 0.5) / (everything + 1.5)) + a for n, a in zip(total, absent)),
         tuple(r["word"] for r in best),
-        tuple(tuple(r[f"r_{d}"] for d in DOMAINS) for r in best),
+        tuple(
+            tuple(math.log(r[f"c_{d}"] / (1 - r[f"c_{d}"])) for d in DOMAINS) for r in best
+        ),
     )
 
 

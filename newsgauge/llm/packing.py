@@ -28,7 +28,7 @@ from newsgauge.session import materialize
 
 SIZE = 1024
 END_ID = 2
-GROUP_ROWS = 100_000
+GROUP_ROWS = 20_000
 
 
 def cuts(tokens: int, size: int) -> list[tuple[int, int]]:

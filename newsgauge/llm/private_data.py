@@ -308,7 +308,8 @@ def mask(docs: DataFrame) -> DataFrame:
 
     Where spans overlap, one tag, the first one's, stands for all of them.
     """
-    found = find_spans(docs)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    found = find_spans(docs.select(F.col("text").cast("string").alias("text"), whole))
 
     def step(state: Column, s: Column) -> Column:
         gap = s["start"] - state["at"]
@@ -333,15 +334,12 @@ def mask(docs: DataFrame) -> DataFrame:
         lambda s: F.concat(s["text"], F.substring(F.col("text"), s["at"] + 1, F.lit(2147483647))),
     )
     text = F.when(F.size("_spans") > 0, masked).otherwise(F.col("text"))
-    result = found.withColumn("text", text)
+    changed = F.size("_spans") > 0
+    renewed = {"text": F.col("_masked")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        result = result.withColumn(
-            "n_chars",
-            F.when(F.size("_spans") > 0, F.char_length("text").cast(kind)).otherwise(
-                F.col("n_chars")
-            ),
-        )
-    return result.select(*docs.columns)
-
-
+        count = F.char_length("_masked").cast(kind)
+        renewed["n_chars"] = F.when(changed, count).otherwise(F.col("_row.n_chars"))
+    return found.select(text.alias("_masked"), "_spans", "_row").select(
+        *[renewed.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns]
+    )
