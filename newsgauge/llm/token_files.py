@@ -2,7 +2,7 @@
 
 All documents in ascending doc_id order are one stream of ids, each ended by the end id. A range
 of documents goes to one file pair in the shared folder. ``<name>.arrow`` holds rows of ``ids`` and
-``mask``, fixed-size lists of one length; only the last row of a file is padded, with mask 0. As
+``mask`` (bits), fixed-size lists of one length; only the last row of a file is padded, mask unset. As
 every row and every batch but the last has one size, a row is found by arithmetic and read without
 copying from the memory-mapped file. ``<name>.index.arrow`` lists doc_id, first id and number of ids.
 
@@ -51,7 +51,7 @@ class _Writer:
     def __init__(self, uri: str, dtype: pa.DataType):
         self.files, self.path = _open(uri)
         self.schema = pa.schema([
-            ("ids", pa.list_(dtype, LENGTH)), ("mask", pa.list_(pa.uint8(), LENGTH)),
+            ("ids", pa.list_(dtype, LENGTH)), ("mask", pa.list_(pa.bool_(), LENGTH)),
         ])
         self.sink = self.files.open_output_stream(f"{self.path}.arrow")
         self.out = pa.ipc.new_file(self.sink, self.schema)
@@ -77,8 +77,7 @@ class _Writer:
             rows = -(-len(part) // LENGTH)
             padded = np.zeros(rows * LENGTH, dtype=ids.dtype)
             padded[: len(part)] = part
-            mask = np.zeros(rows * LENGTH, dtype=np.uint8)
-            mask[: len(part)] = 1
+            mask = np.arange(rows * LENGTH) < len(part)
             self.out.write_batch(pa.record_batch(
                 [pa.FixedSizeListArray.from_arrays(pa.array(padded), LENGTH),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask), LENGTH)],
@@ -116,14 +115,15 @@ class TokenFile:
             return pa.memory_map(path)
         return files.open_input_file(path)
 
-    def _flat(self, batch: int, column: int) -> np.ndarray:
-        return self.reader.get_batch(batch).column(column).flatten().to_numpy()
+    def _flat(self, batch: int) -> np.ndarray:
+        return self.reader.get_batch(batch).column(0).flatten().to_numpy()
 
-    def sequence(self, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and mask of one row."""
+    def sequence(self, row: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """Ids and mask of one row, both views of the file; the mask is a bitmap."""
         batch, at = divmod(row, BATCH_ROWS)
         lo = at * LENGTH
-        return tuple(self._flat(batch, c)[lo : lo + LENGTH] for c in (0, 1))
+        mask = self.reader.get_batch(batch).column(1).flatten()
+        return self._flat(batch)[lo : lo + LENGTH], mask.slice(lo, LENGTH)
 
     def ids(self, first: int, count: int) -> np.ndarray:
         """A range of the file's ids."""
@@ -131,7 +131,7 @@ class TokenFile:
         parts = []
         while count:
             batch, at = divmod(first, block)
-            part = self._flat(batch, 0)[at : at + count]
+            part = self._flat(batch)[at : at + count]
             parts.append(part)
             first, count = first + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts)
