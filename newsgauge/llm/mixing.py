@@ -36,7 +36,8 @@ WEIGHTS = {"high": 0.9, "low": 0.08, "toxic": 0.02}
 SAMPLE = 20_000
 VOCABULARY = 128
 LEAST_RATIO = math.log(2)
-LEAST_DOCUMENTS = 5
+# In nats; among a hundred thousand words some reach half of it by chance.
+LEAST_GAIN = 16.0
 RIDGE = 1e-5
 MIX_RIDGE = 0.02
 PASSES = 40
@@ -133,7 +134,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         rows.select("domain", F.explode("words").alias("word"))
         .groupBy("word")
         .agg(*by_domain())
-        .where((seen >= LEAST_DOCUMENTS) & (F.greatest(*ratios) >= LEAST_RATIO))
+        .where((gain >= LEAST_GAIN) & (F.greatest(*ratios) >= LEAST_RATIO))
         .select("word", *[chance(d, k).alias(f"c_{d}") for k, d in enumerate(DOMAINS)], gain.alias("gain"))
         .orderBy(F.desc("gain"), "word")
         .limit(VOCABULARY)

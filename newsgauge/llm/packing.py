@@ -3,10 +3,10 @@
 Every document is its ids and an end id. Longer ones are cut from the back, so that only the first
 piece may be shorter than a sequence. What to pack is decided on the number of pieces of each
 length, a table of at most ``size`` rows: lengths that fill a gap exactly, alone, as a pair or as a
-triple, are consumed together as often as their counts allow; best fit places what is left. The
-resulting plan has a few thousand entries at most, whatever the number of documents. Tasks then
-number the pieces of each length (in salted groups, so that a frequent length is spread) and look
-their number up in the plan.
+triple, are consumed together as often as their counts allow; best fit places what is left. Of the
+plans with triples, with pairs and with single complements only, the best one counts. It has a
+few thousand entries at most, whatever the number of documents. Tasks then number the pieces of
+each length (in salted groups, so that a frequent length is spread) and look their number up in it.
 
 Defined results: a null text is an empty text, one piece of the end id alone; repeated rows are
 packed each on its own; a null doc_id stays null; an empty table gives no rows.
@@ -101,15 +101,16 @@ def _pairs_with_sum(counts: _Counts, total: int, reserved: int) -> list[tuple[in
     return [(int(a[i]), int(b[i])) for i in best[:4] if room[i] > 0]
 
 
-def _complement(counts: _Counts, length: int, size: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths that fill the gap beside a piece exactly."""
+def _complement(counts: _Counts, length: int, size: int, most: int) -> tuple[int, ...] | None:
+    """Up to ``most`` (three at most) available lengths that fill the gap beside a piece exactly."""
     gap = size - length
     if counts.available((length, gap)):
         return (gap,)
-    for pair in _pairs_with_sum(counts, gap, length):
-        if counts.available((length, *pair)):
-            return pair
-    for third in range(gap - 2, 0, -1):
+    if most > 1:
+        for pair in _pairs_with_sum(counts, gap, length):
+            if counts.available((length, *pair)):
+                return pair
+    for third in range(gap - 2, 0, -1) if most > 2 else ():
         if counts.available((length, third)):
             for pair in _pairs_with_sum(counts, gap - third, length):
                 if counts.available((length, third, *pair)):
@@ -117,16 +118,12 @@ def _complement(counts: _Counts, length: int, size: int) -> tuple[int, ...] | No
     return None
 
 
-def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
-    """Combinations of lengths and how many sequences hold each; all pieces are placed."""
-    left = np.zeros(size + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        left[length] = n
+def _planned(left: np.ndarray, size: int, most: int) -> list[tuple[tuple[int, ...], int]]:
     counts = _Counts(left)
     counts.take((size,))
     for length in range(size - 1, 0, -1):
         while left[length]:
-            rest = _complement(counts, length, size)
+            rest = _complement(counts, length, size, most)
             if rest is None or not counts.take((length, *rest)):
                 break
     for length in range(size, 0, -1):
@@ -142,6 +139,19 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, .
     return counts.taken
 
 
+def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
+    """Combinations of lengths and how many sequences hold each; all pieces are placed.
+
+    Triples use up short pieces that best fit may need more, so complements of up to three, two
+    and one pieces are tried, and the plan with the fewest sequences is taken.
+    """
+    left = np.zeros(size + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        left[length] = n
+    plans = [_planned(left.copy(), size, most) for most in (3, 2, 1)]
+    return min(plans, key=lambda taken: sum(n for _, n in taken))
+
+
 def _lookup(taken: list[tuple[tuple[int, ...], int]], size: int) -> tuple[np.ndarray, ...]:
     """For each length the ranges of its numbers: sorted keys, first sequence, place."""
     used = np.zeros(size + 1, dtype=np.int64)
