@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from newsgauge.llm.blocks import Block, blocks
 from newsgauge.session import materialize, new_path
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("text", pa.large_string())])
 
 

@@ -351,7 +351,9 @@ def _finish(buckets: int, length: int):
 
 
 def _by(rows: DataFrame, key: str) -> DataFrame:
-    return rows.repartition(F.col(key)).sortWithinPartitions(key)
+    """Rows together by key. The number of tasks is given, as small rows may name large chunks."""
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, F.col(key)).sortWithinPartitions(key)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -360,8 +362,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     buckets = 2 * max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     manifest = write_chunks(docs)
-    spread = manifest.repartition(F.col("chunk"))
-    entries = spread.mapInArrow(
+    entries = _by(manifest, "chunk").mapInArrow(
         _send_entries(buckets, length),
         "bucket int, chunk long, keys binary, hashes binary, docs binary, ids binary",
     )

@@ -62,7 +62,7 @@ def repeats():
     return rows
 
 
-@pytest.mark.parametrize("limit", [2000, 1 << 21])
+@pytest.mark.parametrize("limit", [2000, 1 << 20])
 def test_planted_repeats(spark, monkeypatch, limit):
     monkeypatch.setattr(chunks.write_chunks, "__defaults__", (limit,))
     want = check(spark.createDataFrame(repeats(), "doc_id long, text string").repartition(5))
