@@ -8,8 +8,9 @@ in Python. A null text counts as empty.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import lru_cache
+import sys
+import types
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,24 +31,34 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
+def kept(name: str, make: Callable[[], object]) -> object:
+    """A value made once in a worker process, for all its tasks.
+
+    Functions travel to the workers by value, with the globals of their module; what is kept here
+    stays where it was made.
+    """
+    store = sys.modules.setdefault("_kept_values", types.ModuleType("_kept_values")).__dict__
+    if name not in store:
+        store[name] = make()
+    return store[name]
 
 
-_powers: dict[str, np.ndarray] = {}
+def _byte_values() -> np.ndarray:
+    base = np.uint64(_BASE)
+    return kept("byte values", lambda: mix(np.arange(1, 257, dtype=np.uint64) * base))
 
 
 def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least n of each."""
-    have = _powers.get("up")
-    if have is None or len(have) < n:
-        size = max(n, 2 * BLOCK_BYTES)
-        for name, factor in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, factor, dtype=np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+    # Two sizes do for nearly all blocks.
+    size = next((s for s in (1 << 14, 1 << 21) if n <= s), 1 << (n - 1).bit_length())
+
+    def powers(factor: int) -> np.ndarray:
+        steps = np.full(size, factor, dtype=np.uint64)
+        steps[0] = 1
+        return np.multiply.accumulate(steps)
+
+    return kept(f"powers {size}", lambda: (powers(_BASE), powers(pow(_BASE, -1, 1 << 64))))
 
 
 class Block:

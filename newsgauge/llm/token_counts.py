@@ -24,7 +24,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.blocks import blocks
+from newsgauge.llm.blocks import blocks, kept
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
@@ -92,14 +92,9 @@ class Counter(dict):
         return len(words), sum(map(self.__getitem__, words))
 
 
-_counters: dict[str, Counter] = {}
-
-
 def counter(path: str) -> Counter:
     """This worker's counter for a vocabulary file."""
-    if path not in _counters:
-        _counters[path] = Counter(vocabulary(path))
-    return _counters[path]
+    return kept(f"counter {path}", lambda: Counter(vocabulary(path)))
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:

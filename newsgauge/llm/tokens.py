@@ -13,12 +13,11 @@ from __future__ import annotations
 
 import os
 import unicodedata
-from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer
 
-from newsgauge.llm.blocks import mix, power_tables
+from newsgauge.llm.blocks import kept, mix, power_tables
 
 _OTHER, _LETTER, _NUMBER, _WHITE, _DOUBT = 0, 1, 2, 3, 4
 CACHE_PIECES = 1_500_000
@@ -28,8 +27,11 @@ _SPACES = [*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x20
            0x202F, 0x205F, 0x3000]
 
 
-@lru_cache(1)
 def _classes() -> np.ndarray:
+    return kept("character classes", _class_table)
+
+
+def _class_table() -> np.ndarray:
     kind = {"L": _LETTER, "N": _NUMBER}
     category = unicodedata.category
     table = np.zeros(0x110000, dtype=np.uint8)
@@ -40,9 +42,9 @@ def _classes() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
 def _character_values() -> np.ndarray:
-    return mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    step = np.uint64(0x9E3779B97F4A7C15)
+    return kept("character values", lambda: mix(np.arange(1, 0x110001, dtype=np.uint64) * step))
 
 
 def _marks(codes: np.ndarray, kinds: np.ndarray, opens: np.ndarray, spaced: bool) -> np.ndarray:
@@ -182,11 +184,6 @@ class Encoder:
         return mix(value + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
     """This worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return kept(f"encoder {path}", lambda: Encoder(path))
