@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import shutil
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -27,7 +29,8 @@ HEADLINES = [
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
+    folder = tempfile.mkdtemp(prefix="bench-")  # one machine
+    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8, folder)
     spark.sparkContext.setLogLevel("ERROR")
     spark.range(1000).selectExpr("sum(id)").collect()
     seconds = {}
@@ -35,6 +38,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+    shutil.rmtree(folder, ignore_errors=True)
     print(
         json.dumps(
             {

@@ -4,42 +4,29 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _continued_fraction(a: float, b: float, x: float) -> float:
-    tiny = 1e-300
-    c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
-    d = 1.0 / (d if abs(d) > tiny else tiny)
-    h = d
-    for m in range(1, 20_000):
-        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
-        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        change = 1.0
-        for step in (even, odd):
-            d = 1.0 + step * d
-            d = 1.0 / (d if abs(d) > tiny else tiny)
-            c = 1.0 + step / c
-            c = c if abs(c) > tiny else tiny
-            change = d * c
-            h *= change
-        if abs(change - 1.0) < 1e-15:
-            break
-    return h
+def _log_gamma_ratio(a: float) -> float:
+    """log of gamma(a + 1/2) / gamma(a), without the cancellation of two large logarithms.
+
+    The recurrence moves the argument up, where the series needs few terms.
+    """
+    steps = 32
+    low = math.fsum(math.log1p(0.5 / (a + i)) for i in range(steps))
+    c = a + steps
+    series = -1.0 / (8.0 * c) + 1.0 / (192.0 * c**3) - 1.0 / (640.0 * c**5) + 17.0 / (14336.0 * c**7)
+    return 0.5 * math.log(c) + series - low
+
 
+_NODES, _WEIGHTS = np.polynomial.legendre.leggauss(32)
 
-def _incomplete_beta(a: float, b: float, x: float) -> float:
-    if x <= 0.0 or x >= 1.0:
-        return 0.0 if x <= 0.0 else 1.0
-    log_front = (
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    )
-    if x < (a + 1.0) / (a + b + 2.0):
-        return math.exp(log_front) * _continued_fraction(a, b, x) / a
-    return 1.0 - math.exp(log_front) * _continued_fraction(b, a, 1.0 - x) / b
+
+def _log_cosh(w: np.ndarray) -> np.ndarray:
+    return np.log1p(2.0 * np.sinh(w / 2.0) ** 2)
 
 
 def two_sided_p(t: float, df: float) -> float | None:
@@ -48,11 +35,21 @@ def two_sided_p(t: float, df: float) -> float | None:
         return None
     if math.isinf(t):
         return 0.0
-    if df > 1e6:
-        # The t distribution is a slightly wide normal one here.
-        z = abs(t) * (1.0 - 1.0 / (4.0 * df)) / math.sqrt(1.0 + t * t / (2.0 * df))
-        return math.erfc(z / math.sqrt(2.0))
-    return _incomplete_beta(df / 2.0, 0.5, df / (df + t * t))
+    # With x = sqrt(df) sinh(w) the tail is the integral of cosh(w)^-df, which is summed in units of
+    # its decay, by Gauss-Legendre panels, until nothing is added.
+    start = math.asinh(abs(t) / math.sqrt(df))
+    unit = 1.0 / max(math.sqrt(df), df * math.tanh(start))
+    level = float(_log_cosh(np.array(start)))
+    total, panel = 0.0, 0
+    while True:
+        w = start + unit * (panel + (1.0 + _NODES) / 2.0)
+        part = float(_WEIGHTS @ np.exp(-df * (_log_cosh(w) - level))) / 2.0
+        total += part
+        if part <= 1e-18 * total:
+            break
+        panel += 1
+    log_front = _log_gamma_ratio(df / 2.0) - math.lgamma(0.5) - df * level + math.log(2.0 * unit)
+    return min(1.0, math.exp(log_front) * total)
 
 
 @F.pandas_udf(T.DoubleType())

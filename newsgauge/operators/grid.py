@@ -2,7 +2,7 @@
 
 Left rows are cut into blocks, right rows too, and every cell of the grid sees one block of
 each. A cell returns the k best partners per left row, so the pairs themselves never leave
-the task, and a bucket with a third of all rows just has more cells.
+the task. Every cell is one task's work of a bounded size.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 LEFT_ROWS = 4096
 RIGHT_ROWS = 4096
+BLOCK_UNITS = 4_000_000
 RESULT = "left_id bigint, right_id bigint, score double"
 
 
@@ -25,43 +26,36 @@ def score_grid(
     cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
     left_rows: int = LEFT_ROWS,
     right_rows: int = RIGHT_ROWS,
+    units: str | None = None,
 ) -> DataFrame:
-    """Score left against right rows of the same ``bucket``: ``left_id, right_id, score``.
+    """Score left against right rows: ``left_id, right_id, score``.
 
-    Both sides have ``bucket int`` and an id. There must be few buckets (their counts are
-    broadcast); their sizes do not matter.
+    Blocks have at most about ``left_rows`` and ``right_rows`` rows and, where a SQL expression
+    for the size of a row is given, ``BLOCK_UNITS`` units, so that long rows make more blocks.
     """
-    left_blocks = F.ceil(F.count(F.lit(1)) / left_rows).cast("int").alias("left_blocks")
-    right_blocks = F.ceil(F.count(F.lit(1)) / right_rows).cast("int").alias("right_blocks")
-    sizes = (
-        left.groupBy("bucket").agg(left_blocks)
-        .join(right.groupBy("bucket").agg(right_blocks), "bucket")
-        .collect()
-    )
-    spark = left.sparkSession
-    table = spark.createDataFrame(
-        [tuple(r) for r in sizes], "bucket int, left_blocks int, right_blocks int"
-    )
 
-    def block(id_column: str, blocks: str) -> Column:
-        return F.pmod(F.xxhash64(id_column), F.col(blocks)).cast("int")
+    def blocks(side: DataFrame, rows: int) -> int:
+        size = F.sum(F.expr(units)) if units else F.lit(0)
+        n, total = side.agg(F.count(F.lit(1)), size).first()
+        return max(1, -(-n // rows), -(-(total or 0) // BLOCK_UNITS))
+
+    left_blocks, right_blocks = blocks(left, left_rows), blocks(right, right_rows)
+
+    def block(id_column: str, count: int) -> Column:
+        return F.pmod(F.xxhash64(id_column), F.lit(count)).cast("int")
 
-    def every(blocks: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    def every(count: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
 
-    cells = ["bucket", "left_block", "right_block"]
-    lefts = (
-        left.join(F.broadcast(table), "bucket")
-        .withColumn("left_block", block("left_id", "left_blocks"))
-        .withColumn("right_block", every("right_blocks"))
-        .drop("left_blocks", "right_blocks")
+    cells = ["left_block", "right_block"]
+    lefts = left.withColumn("left_block", block("left_id", left_blocks)).withColumn(
+        "right_block", every(right_blocks)
     )
     # Renewed columns, as both sides may come from one table.
     rights = (
-        right.select([F.col(c).alias(c) for c in right.columns]).join(F.broadcast(table), "bucket")
-        .withColumn("right_block", block("right_id", "right_blocks"))
-        .withColumn("left_block", every("left_blocks"))
-        .drop("left_blocks", "right_blocks")
+        right.select([F.col(c).alias(c) for c in right.columns])
+        .withColumn("right_block", block("right_id", right_blocks))
+        .withColumn("left_block", every(left_blocks))
     )
     return lefts.groupBy(*cells).cogroup(rights.groupBy(*cells)).applyInPandas(cell, RESULT)
 

@@ -15,11 +15,6 @@ from newsgauge.operators.skew import first_ids, join_lookup
 from newsgauge.session import materialize
 
 DIGITS = 9
-MAX_PIVOTS = 4096
-PIVOT_BYTES = 64 << 20
-BUCKETS_FROM = 50_000
-SLACK = 1e-6
-BROAD_SHARE = 0.5
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -58,144 +53,51 @@ def _cosine_cell(k: int):
 
 
 def retrieve_top_k(
-    vectors: DataFrame, k: int = 4, buckets: int | None = None, block_rows: int = 4096
+    targets: DataFrame, k: int = 4, source: DataFrame | None = None, block_rows: int = 4096
 ) -> DataFrame:
-    """Per article the k most similar articles of other domains: exact, ties by id.
+    """Per target the k most similar articles of other domains: exact, ties by id.
 
-    Takes ``article_id, domain, embedding``; gives ``article_id, neighbour_id, cosine, rank``.
-    Null and zero vectors, those with a NaN, and rows without a domain take no part.
+    Takes ``article_id, domain, embedding``, for the articles to search among too if ``source`` is
+    given (else the targets are searched among themselves); gives ``article_id, neighbour_id,
+    cosine, rank``. Null and zero vectors, those with a NaN, and rows without a domain take no part.
 
     Copies of a vector within a domain share one search, and only their k smallest ids can be
-    neighbours, so copies are collapsed first. Small tables are compared in one grid of
-    blocks. Large ones are split by their nearest pivot vector: a search starts in its own
-    bucket, and then visits exactly those buckets whose angle range could still beat its k-th
-    result. A search that would visit most of the table goes through the plain grid instead,
-    as its larger blocks cost less per row.
+    neighbours, so copies are collapsed first. All blocks of targets then meet all blocks of the
+    source, at every size of the tables.
     """
-    spark = vectors.sparkSession
-    length = norm(F.col("embedding"))
-    # NaN is above infinity.
-    known = F.col("domain").isNotNull()
-    usable = vectors.where(known & (length > 0) & (length <= F.lit(math.inf)))
-    keyed = usable.select(
-        "article_id", "domain", "embedding",
-        F.xxhash64("embedding").alias("c1"),
-        F.xxhash64(F.lit("second"), "embedding").alias("c2"),
-    )
+    spark = targets.sparkSession
     copy_key = ["domain", "c1", "c2"]
-    copies_of = materialize(spark, keyed.select("article_id", *copy_key), "vector-keys")
-    first = first_ids(keyed, copy_key, "article_id", k).withColumnRenamed("article_id", "id")
-    first = materialize(spark, first, "vectors")
-
-    n, size = first.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if buckets is None:
-        buckets = 1 if n <= BUCKETS_FROM else min(
-            MAX_PIVOTS, 2 * math.isqrt(n), max(1, PIVOT_BYTES // (8 * size))
+
+    def keyed(vectors: DataFrame) -> DataFrame:
+        length = norm(F.col("embedding"))
+        # NaN is above infinity.
+        known = F.col("domain").isNotNull()
+        usable = vectors.where(known & (length > 0) & (length <= F.lit(math.inf)))
+        return usable.select(
+            F.col("article_id").alias("id"), "domain", "embedding",
+            F.xxhash64("embedding").alias("c1"),
+            F.xxhash64(F.lit("second"), "embedding").alias("c2"),
         )
-    if buckets <= 1:
-        rows = first.withColumn("bucket", F.lit(0))
-        scored = score_grid(_searches(rows), _candidates(rows), _cosine_cell(k), block_rows, block_rows)
-    else:
-        scored = _bucketed(first, k, n, buckets, block_rows)
-    keys = first.select(F.col("id").alias("left_id"), *copy_key)
+
+    first = materialize(spark, first_ids(keyed(targets), copy_key, "id", k), "vectors")
+    searched = first.where(F.col("place") == 1)
+    found = first if source is None else first_ids(keyed(source), copy_key, "id", k)
+    scored = score_grid(
+        searched.select(F.col("id").alias("left_id"), "domain", "embedding"),
+        found.select(F.col("id").alias("right_id"), "domain", "embedding"),
+        _cosine_cell(k), block_rows, block_rows, "size(embedding)",
+    )
+    keys = searched.select(F.col("id").alias("left_id"), *copy_key)
     answers = top_k(scored, k).join(keys, "left_id").select(
         *copy_key, F.col("right_id").alias("neighbour_id"), F.col("score").alias("cosine"), "rank"
     )
-    answers = materialize(spark, answers, "answers")
     # Every copy gets the answer of its search.
-    return join_lookup(copies_of, answers, copy_key).select(
+    copies = keyed(targets).select(F.col("id").alias("article_id"), *copy_key)
+    return join_lookup(copies, answers, copy_key).select(
         "article_id", "neighbour_id", "cosine", "rank"
     )
 
 
-def _searches(rows: DataFrame) -> DataFrame:
-    """One row per vector and domain: its smallest id searches for all copies."""
-    return rows.where(F.col("place") == 1).select(
-        F.col("id").alias("left_id"), "domain", "embedding", "bucket"
-    )
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("id").alias("right_id"), "domain", "embedding", "bucket")
-
-
-def _bucketed(first: DataFrame, k: int, n: int, buckets: int, block_rows: int) -> DataFrame:
-    spark = first.sparkSession
-    every = max(1, n // (2 * buckets))
-    chosen = first.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).limit(buckets)
-    sample = chosen.select("embedding").toPandas()
-    if sample.empty:
-        sample = first.select("embedding").limit(1).toPandas()
-    # At most MAX_PIVOTS vectors and PIVOT_BYTES bytes.
-    pivots = spark.sparkContext.broadcast(_unit_rows(sample["embedding"]))
-
-    def assign(batches):
-        for batch in batches:
-            if len(batch):
-                scores = _unit_rows(batch["embedding"]) @ pivots.value.T
-                nearest = scores.argmax(axis=1)
-                angle = np.arccos(np.clip(scores.max(axis=1), -1.0, 1.0))
-                yield batch.assign(bucket=nearest.astype("int32"), angle=angle)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in first.schema)
-    rows = first.mapInPandas(assign, f"{schema}, bucket int, angle double")
-    rows = materialize(spark, rows, "buckets")
-    searched, candidates = _searches(rows), _candidates(rows)
-
-    near = score_grid(searched, candidates, _cosine_cell(k), block_rows, block_rows)
-    near = materialize(spark, top_k(near, k), "near")
-    limits = near.where(F.col("rank") == k).select("left_id", F.col("score").alias("limit"))
-
-    # One row per bucket.
-    ranges = (
-        rows.groupBy("bucket")
-        .agg(F.min("angle").alias("lo"), F.max("angle").alias("hi"), F.count(F.lit(1)).alias("n"))
-        .toPandas()
-        .sort_values("bucket")
-    )
-
-    def visits(batches):
-        numbers = ranges["bucket"].to_numpy()
-        lo, hi = ranges["lo"].to_numpy(), ranges["hi"].to_numpy()
-        share = ranges["n"].to_numpy() / ranges["n"].sum()
-        for batch in batches:
-            if not len(batch):
-                continue
-            angles = np.arccos(np.clip(_unit_rows(batch["embedding"]) @ pivots.value[numbers].T, -1, 1))
-            gap = np.maximum(np.maximum(angles - hi, lo - angles), 0.0)
-            limit = batch["limit"].fillna(-2.0).to_numpy()[:, None]
-            home = numbers[None, :] == batch["bucket"].to_numpy()[:, None]
-            wanted = (np.cos(gap) >= limit - SLACK) & ~home
-            broad = wanted @ share > BROAD_SHARE
-            yield pd.DataFrame(
-                {
-                    "left_id": batch["left_id"],
-                    "domain": batch["domain"],
-                    "embedding": batch["embedding"],
-                    "broad": broad,
-                    "visit": [[] if b else numbers[row].tolist() for row, b in zip(wanted, broad)],
-                }
-            )
-
-    fields = {f.name: f.dataType.simpleString() for f in searched.schema}
-    schema = (
-        f"left_id bigint, domain {fields['domain']}, embedding {fields['embedding']}, "
-        "broad boolean, visit array<int>"
-    )
-    probes = searched.join(limits, "left_id", "left").mapInPandas(visits, schema)
-    probes = materialize(spark, probes, "probes")
-    columns = ["left_id", "domain", "embedding"]
-    narrow = probes.where(~F.col("broad")).select(*columns, F.explode("visit").alias("bucket"))
-    far = score_grid(narrow, candidates, _cosine_cell(k), block_rows, block_rows)
-    broad = probes.where("broad").select(*columns, F.lit(0).alias("bucket"))
-    all_over = score_grid(
-        broad, candidates.withColumn("bucket", F.lit(0)), _cosine_cell(k), block_rows, block_rows
-    )
-    # A broad search has met its own bucket again, so its first results go.
-    near = near.drop("rank").join(probes.where("broad").select("left_id"), "left_id", "left_anti")
-    return near.unionByName(far).unionByName(all_over)
-
-
 def vector_check(vectors: DataFrame) -> DataFrame:
     """One row: number of vectors, shortest and longest size, smallest and largest norm."""
     return vectors.select(F.size("embedding").alias("s"), norm(F.col("embedding")).alias("n")).agg(

@@ -133,16 +133,14 @@ VIEWS = {
     "corpus": """SELECT page_id, url, regexp_extract(html, '(?is)<title>(.*?)</title>', 1) AS title,
         regexp_replace(html, '<[^>]*>', ' ', 'g') AS content FROM pages""",
     "matches": """WITH dt AS (SELECT DISTINCT article_id, tok FROM (SELECT article_id,
-          unnest(string_split_regex(lower(text), '[^a-z0-9]+')) AS tok FROM articles) x
-          WHERE length(tok) >= 4),
+          unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS tok FROM articles) x),
         pt AS (SELECT DISTINCT page_id, tok FROM (SELECT page_id,
-          unnest(string_split_regex(lower(content), '[^a-z0-9]+')) AS tok FROM corpus) x
-          WHERE length(tok) >= 4),
+          unnest(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')) AS tok FROM corpus) x),
         df AS (SELECT tok, count(*) AS df FROM pt GROUP BY tok),
         n AS (SELECT count(*) AS n FROM pages),
         sc AS (SELECT article_id, page_id, round(sum(ln(CAST(n AS double) / df)), 6) AS score
-          FROM dt JOIN pt USING (tok) JOIN df USING (tok) CROSS JOIN n WHERE df <= 0.2 * n
-          GROUP BY article_id, page_id)
+          FROM dt JOIN pt USING (tok) JOIN df USING (tok) CROSS JOIN n
+          GROUP BY article_id, page_id HAVING round(sum(ln(CAST(n AS double) / df)), 6) > 0)
       SELECT article_id, page_id, score, rank FROM (SELECT *, CAST(row_number() OVER
           (PARTITION BY article_id ORDER BY score DESC, page_id) AS int) AS rank FROM sc) y
       WHERE rank <= 10""",

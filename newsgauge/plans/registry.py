@@ -121,7 +121,7 @@ def vector_check(spark, sf_dir):
 
 @query
 def resume_todo(spark, sf_dir):
-    articles = views.articles(spark, sf_dir)
+    articles = views.documents(spark, sf_dir)
     done = views.table(spark, sf_dir, "labels").select(F.col("doc_id").alias("article_id"))
     return IN.resume_todo(articles, done).select("article_id", "source")
 
@@ -135,7 +135,7 @@ class LengthScorer:
 
 @query
 def score_batch(spark, sf_dir):
-    prompts = PR.prompt_fanout(views.cleaned_articles(spark, sf_dir))
+    prompts = PR.prompt_fanout(views.cleaned_documents(spark, sf_dir))
     return SC.score_batch(prompts, LengthScorer)
 
 
@@ -150,7 +150,7 @@ class LengthEmbedder:
 
 @query
 def embed_batch(spark, sf_dir):
-    inputs = PR.embedding_inputs(views.cleaned_articles(spark, sf_dir))
+    inputs = PR.embedding_inputs(views.cleaned_documents(spark, sf_dir))
     return SC.embed_batch(inputs, LengthEmbedder).select(
         "article_id", F.size("embedding").alias("dims"),
         F.element_at("embedding", 1).cast("double").alias("first"), "status",
@@ -160,7 +160,7 @@ def embed_batch(spark, sf_dir):
 @query
 def stream_scores(spark, sf_dir):
     source, output, checkpoint = (new_path(spark, n) for n in ("incoming", "scores", "progress"))
-    views.articles(spark, sf_dir).select("article_id", "title", "text").write.parquet(source)
+    views.documents(spark, sf_dir).select("article_id", "title", "text").write.parquet(source)
     for _ in range(2):  # the second run finds nothing new
         IN.stream_scores(spark, source, output, checkpoint, LengthScorer)
     return spark.read.schema(SC.REPLY_SCHEMA).parquet(output)
@@ -170,7 +170,7 @@ def stream_scores(spark, sf_dir):
 def score_new(spark, sf_dir):
     output = new_path(spark, "scores")
     for _ in range(2):  # the second run finds nothing to do
-        IN.score_new(spark, views.cleaned_articles(spark, sf_dir), output, LengthScorer)
+        IN.score_new(spark, views.cleaned_documents(spark, sf_dir), output, LengthScorer)
     return IN.latest_replies(spark.read.schema(SC.REPLY_SCHEMA).parquet(output))
 
 
@@ -228,18 +228,18 @@ def drop_columns(spark, sf_dir):
 
 @query
 def full_text(spark, sf_dir):
-    return CN.add_full_text(views.articles(spark, sf_dir)).select("article_id", "full_text")
+    return CN.add_full_text(views.documents(spark, sf_dir)).select("article_id", "full_text")
 
 
 @query
 def filter_short(spark, sf_dir):
-    cleaned = CN.clean_articles(views.articles(spark, sf_dir))
+    cleaned = CN.clean_articles(views.documents(spark, sf_dir))
     return cleaned.select("article_id", F.char_length("full_text").alias("chars"))
 
 
 @query
 def truncate_text(spark, sf_dir):
-    a = views.articles(spark, sf_dir)
+    a = views.documents(spark, sf_dir)
     sizes = {"text_350": ("text", 350), "text_800": ("text", 800), "title_80": ("title", 80)}
     return a.select("article_id", *[TX.truncate(F.col(c), n).alias(k) for k, (c, n) in sizes.items()])
 
@@ -268,7 +268,7 @@ def fill_features(spark, sf_dir):
 
 @query
 def row_lookup(spark, sf_dir):
-    return CN.row_lookup(views.articles(spark, sf_dir), 15).select("article_id", "source", "text")
+    return CN.row_lookup(views.documents(spark, sf_dir), 15).select("article_id", "source", "text")
 
 
 @query
@@ -328,19 +328,19 @@ def clean_query(spark, sf_dir):
 
 @query
 def prompt_fanout(spark, sf_dir):
-    return PR.prompt_fanout(views.cleaned_articles(spark, sf_dir))
+    return PR.prompt_fanout(views.cleaned_documents(spark, sf_dir))
 
 
 @query
 def query_prompt(spark, sf_dir):
-    return views.cleaned_articles(spark, sf_dir).select(
+    return views.cleaned_documents(spark, sf_dir).select(
         "article_id", PR.query_prompt(F.col("full_text")).alias("prompt")
     )
 
 
 @query
 def scorer_inputs(spark, sf_dir):
-    inputs = PR.embedding_inputs(views.cleaned_articles(spark, sf_dir))
+    inputs = PR.embedding_inputs(views.cleaned_documents(spark, sf_dir))
     return inputs.select("article_id", F.posexplode("candidates").alias("attempt", "prompt"))
 
 
@@ -355,7 +355,7 @@ def affect_profile(spark, sf_dir):
 
 @query
 def attach_profile(spark, sf_dir):
-    articles = views.articles(spark, sf_dir).select("article_id", "source")
+    articles = views.documents(spark, sf_dir).select("article_id", "source")
     profiles = views.affect(spark, sf_dir).select("article_id", *V.AFFECT_COLUMNS)
     return rounded(SC.attach_profile(articles, profiles), 6, *V.FEATURES)
 
@@ -482,7 +482,7 @@ def retrieve_top4(spark, sf_dir):
 
 
 def _matches(spark, sf_dir) -> DataFrame:
-    articles = views.articles(spark, sf_dir).select("article_id", "text")
+    articles = views.documents(spark, sf_dir).select("article_id", "text")
     return EV.evidence_top_k(articles, views.evidence_corpus(spark, sf_dir))
 
 
@@ -512,7 +512,7 @@ def search_evidence(spark, sf_dir):
 
 @query
 def verdict_prompt(spark, sf_dir):
-    articles = views.cleaned_articles(spark, sf_dir).select("article_id", "full_text")
+    articles = views.cleaned_documents(spark, sf_dir).select("article_id", "full_text")
     with_evidence = EV.attach_evidence(articles, _evidence(spark, sf_dir))
     prompt = PR.verdict_prompt(F.col("full_text"), F.lit(""), F.col("evidence_text"))
     return with_evidence.select("article_id", prompt.alias("prompt"))
@@ -525,7 +525,7 @@ def verified_article(spark, sf_dir):
     )
     verdicts = EV.parse_verdicts(views.verdict_raw(spark, sf_dir))
     result = EV.verified_article(
-        views.articles(spark, sf_dir), queries, _evidence(spark, sf_dir), verdicts
+        views.documents(spark, sf_dir), queries, _evidence(spark, sf_dir), verdicts
     )
     return result.withColumn("sources", joined(F.col("sources")))
 

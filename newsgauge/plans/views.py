@@ -12,17 +12,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``article_id, source, lang, title, text, label``; label null where unlabelled."""
-    documents = table(spark, sf_dir, "documents")
-    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
-    return documents.join(labels, "doc_id", "left").select(
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``article_id, source, lang, title, text``: a narrow plan, for all that needs no label."""
+    return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("article_id"),
         "source",
         "lang",
         F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"),
         "text",
-        F.when(F.col("toxic") == 1, "fake").when(F.col("toxic") == 0, "real").alias("label"),
+    )
+
+
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` and their label, null where unlabelled; fake if any label row says toxic."""
+    labels = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("article_id"))
+    toxic = labels.agg(F.max("toxic").alias("toxic"))
+    return documents(spark, sf_dir).join(toxic, "article_id", "left").withColumn(
+        "label", F.when(F.col("toxic") == 1, "fake").when(F.col("toxic") == 0, "real")
+    ).drop("toxic")
+
+
+def cleaned_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return documents(spark, sf_dir).withColumn(
+        "full_text", TX.full_text(F.col("title"), F.col("text"))
     )
 
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
-    """A single-JVM session for tests and the bench. On a cluster, pass your own session."""
-    return (
+def local_session(
+    cpus: str | int = "*", shuffle_partitions: int = 8, folder: str | None = None
+) -> SparkSession:
+    """A single-JVM session for tests and the bench. On a cluster, pass your own session.
+
+    ``folder`` takes intermediate results; else they go to the warehouse folder.
+    """
+    builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("newsgauge")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -19,27 +23,16 @@ def local_session(cpus: str | int = "*", shuffle_partitions: int = 8) -> SparkSe
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .getOrCreate()
     )
-
-
-_local_folders: dict[str, str] = {}
+    if folder:
+        builder = builder.config("spark.checkpoint.dir", folder)
+    return builder.getOrCreate()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder that every executor can read: ``spark.checkpoint.dir`` of the session.
-
-    Only a local master may do without, as there the driver and the executors are one machine.
-    """
+    """Folder that every executor can read: ``spark.checkpoint.dir``, else the warehouse folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    if context.applicationId not in _local_folders:
-        _local_folders[context.applicationId] = tempfile.mkdtemp(prefix="newsgauge-")
-    return _local_folders[context.applicationId]
+    return (folder or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def new_path(spark: SparkSession, name: str) -> str:

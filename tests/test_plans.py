@@ -94,3 +94,29 @@ PAIRLESS = [n for n in E.queries() if n not in ("method_summary", "kmeans_labels
 def test_no_cartesian_join(spark, sf_dir, name):
     text = plan(E.queries()[name](spark, sf_dir))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["full_text", "filter_short", "truncate_text", "prompt_fanout", "query_prompt", "scorer_inputs",
+     "score_batch", "embed_batch"],
+)
+def test_no_shuffle_where_no_label_is_used(spark, sf_dir, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "Exchange" not in plan(E.queries()[name](spark, sf_dir))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_second_label_rows_do_not_double_articles(spark, tmp_path):
+    docs = [(1, "a", "en", "s", 1), (2, "b", "en", "s", 1), (3, "c", "en", "s", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels = [(1, 1, 0), (1, 1, 1), (2, 0, 0), (2, 0, 0)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(
+        f"{tmp_path}/labels.parquet"
+    )
+    rows = views.articles(spark, str(tmp_path)).collect()
+    assert sorted((r.article_id, r.label) for r in rows) == [(1, "fake"), (2, "real"), (3, None)]

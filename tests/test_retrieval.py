@@ -3,8 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsgauge.functions import vectors as VE
+from newsgauge.operators import grid as GR
 from newsgauge.operators import retrieval as RE
-from newsgauge.operators import skew as SK
 
 SCHEMA = "article_id long, domain string, embedding array<float>"
 
@@ -38,30 +38,38 @@ def answers(df):
     return {(r.article_id, r.neighbour_id, round(r.cosine, 6), r["rank"]) for r in df.collect()}
 
 
-@pytest.mark.parametrize("broad_share", [0.0, 0.5, 2.0])
-@pytest.mark.parametrize("buckets, block_rows", [(1, 4096), (1, 16), (7, 4096), (24, 8)])
-def test_top_k_equals_brute_force(spark, monkeypatch, buckets, block_rows, broad_share):
-    monkeypatch.setattr(RE, "BROAD_SHARE", broad_share)
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_top_k_equals_brute_force(spark, block_rows):
     rows = clustered()
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    out = answers(RE.retrieve_top_k(df, 4, buckets=buckets, block_rows=block_rows))
-    assert out == brute_force(rows, 4)
+    assert answers(RE.retrieve_top_k(df, 4, block_rows=block_rows)) == brute_force(rows, 4)
 
 
-def test_hot_copies_take_the_broadcast_side(spark, monkeypatch):
-    monkeypatch.setattr(SK, "HOT_ROWS", 1)
-    monkeypatch.setattr(SK, "HOT_KEYS", 3)
+def test_long_vectors_make_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(GR, "BLOCK_UNITS", 100)
     rows = clustered()
     df = spark.createDataFrame(rows, SCHEMA)
     assert answers(RE.retrieve_top_k(df, 4)) == brute_force(rows, 4)
 
 
-def test_spread_vectors_need_all_buckets(spark):
-    rng = np.random.default_rng(2)
-    vectors = np.float32(rng.normal(size=(120, 16))).tolist()
-    rows = [(i, f"d{i % 2}", v) for i, v in enumerate(vectors)]
-    df = spark.createDataFrame(rows, SCHEMA)
-    assert answers(RE.retrieve_top_k(df, 3, buckets=10)) == brute_force(rows, 3)
+@pytest.mark.parametrize("block_rows", [4096, 16])
+def test_targets_and_source(spark, block_rows):
+    rows = clustered()
+    targets, source = [r for r in rows if r[0] % 4], [r for r in rows if r[0] % 4 == 0]
+    out = RE.retrieve_top_k(
+        spark.createDataFrame(targets, SCHEMA), 3,
+        source=spark.createDataFrame(source, SCHEMA), block_rows=block_rows,
+    )
+    asked, offered = {r[0] for r in targets}, {r[0] for r in source}
+    units = {i: np.float32(v).astype(float) for i, _, v in rows}
+    units = {i: v / np.sqrt((v * v).sum()) for i, v in units.items() if (v * v).sum() > 0}
+    domain = {i: d for i, d, _ in rows}
+    want = set()
+    for i in asked & set(units):
+        scored = sorted((-round(float(units[i] @ units[j]), 9), j)
+                        for j in offered & set(units) if domain[i] != domain[j])[:3]
+        want |= {(i, j, round(-s, 6), n) for n, (s, j) in enumerate(scored, 1)}
+    assert answers(out) == want
 
 
 def test_fewer_candidates_than_k(spark):

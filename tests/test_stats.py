@@ -55,6 +55,18 @@ def test_p_value_against_integral(t, df):
     assert two_sided_p(t, df) == pytest.approx(1 - 2 * area, abs=1e-9)
 
 
+@pytest.mark.parametrize("df", [1e6 - 1, 1e6, 1e6 + 1, 1e7, 1e9])
+@pytest.mark.parametrize("t", [0.3, 1.7, 2.0, 10.0, 30.0])
+def test_p_value_of_large_samples(t, df):
+    """One formula at every size: against a Simpson integral of the density."""
+    x = np.linspace(t, t + 40, 400_001)
+    half = 1 / (8 * df / 2) - 1 / (192 * (df / 2) ** 3)
+    log_norm = 0.5 * math.log(df / 2) - half - 0.5 * math.log(math.pi * df)
+    y = np.exp(log_norm - (df + 1) / 2 * np.log1p(x * x / df))
+    area = (x[1] - x[0]) / 3 * (y[0] + y[-1] + 4 * y[1:-1:2].sum() + 2 * y[2:-1:2].sum())
+    assert two_sided_p(t, df) == pytest.approx(2 * area, rel=1e-6)
+
+
 def test_p_value_edges():
     assert two_sided_p(math.inf, 5) == 0.0
     assert two_sided_p(float("nan"), 5) is None
