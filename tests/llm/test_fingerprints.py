@@ -73,3 +73,22 @@ def test_signature_does_not_depend_on_the_block():
         alone = minhash.signatures(*hashed(Block.of([text]), 5))
         assert (alone[0] == whole[i]).all()
     assert (whole[1] == 0xFFFF).all()
+
+
+def test_near_leaders_are_verified(spark):
+    from tests.llm.test_jaccard_join import near_copies
+
+    rows = near_copies(25, 6)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    found = minhash.near_leaders(docs).collect()
+    assert len(found) > 50
+    for r in found:
+        a, b = shingles(texts[r.doc_id]), shingles(texts[r.leader_id])
+        assert r.leader_id < r.doc_id
+        assert r.jaccard == pytest.approx(len(a & b) / len(a | b)) and r.jaccard >= 0.8
+    # Every exact copy finds a document it equals.
+    exact = {r.doc_id for r in found if r.jaccard == 1}
+    assert all(i in exact for i in texts if i >= 9000)
+    assert minhash.near_leaders(edge_documents(spark)).count() >= 1
+    assert minhash.near_leaders(no_documents(spark)).collect() == []
