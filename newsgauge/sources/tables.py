@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +59,53 @@ def _typed(f: T.StructField) -> Column:
     return cell.cast(f.dataType).alias(f.name)
 
 
+_CSV = {
+    "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "mode": "FAILFAST",
+    "maxCharsPerColumn": -1,
+}
+HEADER_READS = 16
+
+
+def _by_header(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    schema: T.StructType,
+    multi_line: bool,
+    extra: Sequence[Column] = (),
+    recursive: bool = False,
+) -> DataFrame:
+    """Cells of CSV files as strings, found by the column names in each file's header.
+
+    Columns a file does not have are null, its other columns are ignored, and their order does
+    not matter. Headers are read a few files at a time; files of one header are one scan.
+    """
+    options = {**_CSV, "multiLine": multi_line}
+    listed = spark.read.option("recursiveFileLookup", recursive).text(path).inputFiles()
+    files = sorted(unquote(f) for f in listed)
+
+    def header(file: str) -> tuple[str, ...]:
+        return tuple(spark.read.csv(file, header=True, **options).columns)
+
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_READS) as pool:
+        for file, names in zip(files, pool.map(header, files)):
+            groups.setdefault(names, []).append(file)
+
+    def scan(names: tuple[str, ...], part: list[str]) -> DataFrame:
+        as_strings = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        cells = spark.read.schema(as_strings).csv(part, header=True, **options)
+        wanted = [
+            F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string").alias(f.name)
+            for f in schema
+        ]
+        return cells.select(*wanted, *extra)
+
+    scans = [scan(names, part) for names, part in groups.items() if names]
+    if not scans:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    return reduce(DataFrame.unionByName, scans)
+
+
 def scan_csv_strings(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -63,14 +113,16 @@ def scan_csv_strings(
     header: bool = True,
     multi_line: bool = True,
 ) -> DataFrame:
-    """CSV cells as written, all strings; ``header=False`` returns the header as a row.
+    """CSV cells as written, all strings, by the names in the header.
 
-    ``multi_line`` reads quoted line breaks, but gives one task per file: write large CSV as
-    many files, or turn it off where no cell holds a line break.
+    ``header=False`` takes columns by position and returns a header as a row. ``multi_line`` reads
+    quoted line breaks, but gives one task per file: write large CSV as many files, or turn it off
+    where no cell holds a line break, and files are split.
     """
+    if header:
+        return _by_header(spark, path, schema, multi_line)
     return spark.read.schema(_strings(schema)).csv(
-        path, header=header, multiLine=multi_line, quote='"', escape='"', enforceSchema=True,
-        nullValue="", emptyValue="", mode="FAILFAST", maxCharsPerColumn=-1,
+        path, header=False, multiLine=multi_line, enforceSchema=True, **_CSV
     )
 
 
@@ -100,14 +152,10 @@ def scan_labelled_files(
     ``name_pattern`` finds the name in the file's path. The source is its part before ``_``,
     the label is fake if the name contains "fake". An existing source or label is replaced.
     """
-    cells = spark.read.schema(_strings(schema)).csv(
-        path, header=True, multiLine=multi_line, quote='"', escape='"', enforceSchema=True,
-        nullValue="", emptyValue="", mode="FAILFAST", maxCharsPerColumn=-1, recursiveFileLookup=True,
-    )
-    name = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), name_pattern, 1)
-    named = cells.select(
-        *[_typed(f) for f in schema if f.name not in ("source", "label")], name.alias("_name")
-    )
+    kept = T.StructType([f for f in schema if f.name not in ("source", "label")])
+    found = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), name_pattern, 1)
+    cells = _by_header(spark, path, kept, multi_line, [found.alias("_name")], recursive=True)
+    named = cells.select(*[_typed(f) for f in kept], "_name")
     return named.select(
         *[c for c in named.columns if c != "_name"],
         F.split_part("_name", F.lit("_"), F.lit(1)).alias("source"),

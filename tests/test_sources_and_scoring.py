@@ -49,6 +49,36 @@ def test_csv_cells(spark, tmp_path):
     ]
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    """Reordered, further and missing columns, as in files of different origin."""
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "a.csv", 'title,id,text\nMyTitle,7,"a\nb"\n')
+    write(folder / "b c.csv", "text,other,id\nt,x,8\n")
+    write(folder / "d.csv", "id,title,text\n9,T,u\n")
+    schema = T.StructType(
+        [T.StructField("id", T.LongType()), T.StructField("title", T.StringType()),
+         T.StructField("text", T.StringType())]
+    )
+    rows = tables.scan_csv(spark, str(folder), schema).orderBy("id").collect()
+    assert [tuple(r) for r in rows] == [(7, "MyTitle", "a\nb"), (8, None, "t"), (9, "T", "u")]
+
+
+def test_article_file_with_further_columns(spark, tmp_path):
+    names = [f.name for f in tables.ARTICLE_SCHEMA]
+    wide = ["url", *reversed(names), "source", "canonical", "meta"]
+    cells = [f"v-{n}" for n in wide]
+    write(tmp_path / "Site_fake.csv", ",".join(wide) + "\n" + ",".join(cells) + "\n")
+    (row,) = tables.scan_labelled_files(spark, str(tmp_path)).collect()
+    assert [row[n] for n in names] == [f"v-{n}" for n in names]
+    assert (row.source, row.label) == ("Site", "fake") and len(row) == len(names) + 2
+
+
+def test_no_files(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        tables.scan_csv(spark, str(tmp_path), SCHEMA)
+
+
 def test_malformed_number_is_an_error(spark, tmp_path):
     path = write(tmp_path / "a.csv", "id,text,score,voc,ec\n1,x,high,1,[]\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
