@@ -42,6 +42,18 @@ class Moments:
         return out
 
 
+def labelled(df: DataFrame) -> DataFrame:
+    """Rows that are fake or real: what models are fitted to and judged by."""
+    return df.where(F.col("label").isin(V.LABELS))
+
+
+def _both(moments: dict, fake: object, real: object) -> tuple[Moments, Moments]:
+    for key, name in ((fake, "fake"), (real, "real")):
+        if key not in moments:
+            raise ValueError(f"both classes are needed, but there is no {name} row to fit to")
+    return moments[fake], moments[real]
+
+
 def column_moments(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> dict[tuple, Moments]:
     """Moments per key, one aggregate. Keys are labels and folds, so there are few."""
     aggregates = []
@@ -100,7 +112,7 @@ def standardize(df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> D
 def class_centroids(df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> DataFrame:
     """Mean features of the real and the fake class in the original scale."""
     return (
-        df.where(F.col("label").isin(V.LABELS))
+        labelled(df)
         .groupBy("label")
         .agg(*[F.round(F.avg(f), 4).alias(f) for f in features])
     )
@@ -121,8 +133,8 @@ class CentroidModel:
 
     @classmethod
     def fit(cls, df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> CentroidModel:
-        m = column_moments(df.select(is_fake(F.col("label")).alias("y"), *features), ["y"], features)
-        return cls.of(m[1,], m[0,], features)
+        data = labelled(df).select(is_fake(F.col("label")).alias("y"), *features)
+        return cls.of(*_both(column_moments(data, ["y"], features), (1,), (0,)), features)
 
     def distances(self) -> tuple[Column, Column]:
         """Euclidean distance of a row to the fake and to the real centroid."""
@@ -140,13 +152,13 @@ class CentroidModel:
 
 
 def nearest_centroid(df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> DataFrame:
-    """``article_id, y, pred`` with centroids of the whole table."""
+    """``article_id, y, pred`` of labelled rows, with centroids of all of them."""
     model = CentroidModel.fit(df, features)
-    return df.select("article_id", is_fake(F.col("label")).alias("y"), model.prediction().alias("pred"))
+    return labelled(df).select("article_id", is_fake(F.col("label")).alias("y"), model.prediction().alias("pred"))
 
 
 def affective_distance(df: DataFrame, features: Sequence[str] = tuple(V.FEATURES)) -> DataFrame:
-    """Distances to both centroids, the share of the real one, and the nearer class.
+    """Distances of every row to both centroids, the share of the real one, and the nearer class.
 
     The class is decided before rounding; a tie is real.
     """
@@ -169,8 +181,10 @@ def stratified_folds(
     """Add ``fold`` 0..folds-1, stratified by label: runs of key order, or of a seeded shuffle.
 
     Fold sizes are those of dealing the rows, sorted by class, round robin to the folds.
+    Unlabelled rows belong to no class and are left out.
     Rows are compared with at most ``folds - 1`` cut values per class; none is shuffled.
     """
+    df = labelled(df)
     y = is_fake(F.col("label"))
     order = F.col(key).cast("bigint") if seed is None else hash_key(F.col(key), seed)
     data = df.select(y.alias("y"), order.alias("o"), F.col(key).alias("k"))
@@ -217,6 +231,8 @@ def nearest_centroid_cv(
 
     def total(y: int | None, without: int | None) -> Moments:
         chosen = [m for (f, c), m in parts.items() if f != without and (y is None or c == y)]
+        if not chosen:
+            raise ValueError("both classes are needed in the training rows of every fold")
         result = chosen[0]
         for m in chosen[1:]:
             result = result + m

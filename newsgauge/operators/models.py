@@ -23,6 +23,7 @@ from newsgauge.operators.classify import (
     Scaler,
     column_moments,
     cv_summary,
+    labelled,
     stratified_folds,
     weighted_scores,
 )
@@ -50,7 +51,7 @@ def _vote(clustered: DataFrame) -> int:
     """The cluster with the larger share of fake articles; a tie is cluster 1."""
     shares = {
         row.cluster: row.share
-        for row in clustered.groupBy("cluster").agg(F.avg(is_fake(F.col("label"))).alias("share")).collect()
+        for row in labelled(clustered).groupBy("cluster").agg(F.avg(is_fake(F.col("label"))).alias("share")).collect()
     }
     return 0 if shares.get(0, 0.0) > shares.get(1, 0.0) else 1
 
@@ -139,7 +140,7 @@ def train_classifier(
     df: DataFrame, features: Sequence[str] = tuple(V.FEATURES), c: float = 1.0
 ) -> PipelineModel:
     """L2-regularised logistic regression of fake against real on scaled features."""
-    data = df.select(is_fake(F.col("label")).alias("y"), *features)
+    data = labelled(df).select(is_fake(F.col("label")).alias("y"), *features)
     return _classifier(data, features, c)
 
 
@@ -167,7 +168,7 @@ def classify_affect(model: PipelineModel, df: DataFrame) -> DataFrame:
 
 def predict(model: PipelineModel, df: DataFrame) -> DataFrame:
     """``article_id, y, pred`` of labelled rows."""
-    return model.transform(df).select(
+    return model.transform(labelled(df)).select(
         "article_id", is_fake(F.col("label")).alias("y"), F.col("prediction").cast("int").alias("pred")
     )
 
@@ -208,13 +209,13 @@ def logreg_cv(
 
 
 def all_methods(df: DataFrame, restarts: tuple[int, int] = (20, 10)) -> DataFrame:
-    """Predictions of the four clustering methods as rows ``(method, y, pred)``."""
+    """Predictions of the four clustering methods for labelled rows: ``(method, y, pred)``."""
     y = is_fake(F.col("label")).alias("y")
-    centroid = df.select(y, CentroidModel.fit(df).prediction().alias("pred"))
+    centroid = labelled(df).select(y, CentroidModel.fit(df).prediction().alias("pred"))
     frames = {
-        "KMeans": kmeans_labels(df, restarts=restarts[0]).select(y, "pred"),
+        "KMeans": labelled(kmeans_labels(df, restarts=restarts[0])).select(y, "pred"),
         "Nearest Centroid": centroid,
-        "GMM": gmm_labels(df, restarts=restarts[1]).select(y, "pred"),
+        "GMM": labelled(gmm_labels(df, restarts=restarts[1])).select(y, "pred"),
         "Affective Distance": centroid,
     }
     result = None

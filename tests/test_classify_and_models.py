@@ -231,3 +231,37 @@ def test_method_summary(spark):
     out = {r.method: r for r in CL.method_summary(predictions).collect()}
     assert (out["a"].f1_weighted, out["a"].accuracy) == (1.0, 1.0)
     assert out["b"].accuracy == 0.5 and out["b"].f1_weighted == pytest.approx((2 / 3) / 2)
+
+
+def test_unlabelled_rows_are_scored_but_not_learnt_from(spark):
+    rows, df = table(spark)
+    extra = [(10_000 + i, label, *[1.0] * 5) for i, label in enumerate([None, None, "other", ""])]
+    more = df.unionByName(spark.createDataFrame(extra, SCHEMA))
+
+    centroids = {r.label: tuple(r)[1:] for r in CL.class_centroids(more).collect()}
+    model = CL.CentroidModel.fit(more)
+    for label, centre in (("fake", model.fake), ("real", model.real)):
+        original = [c * s + m for c, s, m in zip(centre, model.scaler.std, model.scaler.mean)]
+        assert original == pytest.approx(centroids[label], abs=1e-4)
+    assert CL.nearest_centroid(more).count() == len(rows)
+    assert CL.affective_distance(more).count() == len(rows) + len(extra)
+
+    def same(f):
+        assert sorted(map(tuple, f(more).collect())) == sorted(map(tuple, f(df).collect()))
+
+    same(lambda d: CL.stratified_folds(d).select("article_id", "fold"))
+    same(lambda d: CL.nearest_centroid_cv(d))
+    weights = lambda d: [r.weight for r in MO.logreg_weights(MO.train_classifier(d), d).collect()]
+    assert weights(more) == pytest.approx(weights(df))
+    assert MO.predict(MO.train_classifier(df), more).count() == len(rows)
+    assert MO.kmeans_labels(more, restarts=2).count() == len(rows) + len(extra)
+
+
+@pytest.mark.parametrize("only", ["fake", "real"])
+def test_one_class_is_a_clear_error(spark, only):
+    _, df = table(spark)
+    one = df.where(f"label = '{only}'")
+    with pytest.raises(ValueError, match="both classes"):
+        CL.CentroidModel.fit(one)
+    with pytest.raises(ValueError, match="both classes"):
+        CL.nearest_centroid_cv(one)
