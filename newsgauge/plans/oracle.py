@@ -385,7 +385,7 @@ BODIES = {
         split_part(source, '_', 1) AS source, label FROM articles WHERE label IS NOT NULL""",
     "sink_table": """SELECT article_id, vreg, voc, eireg_anger, eireg_fear, eireg_joy, eireg_sadness, ec
         FROM profiles""",
-    "sink_partitioned": "SELECT article_id, full_text, source, label FROM cleaned WHERE label = 'fake'",
+    "sink_partitioned": "SELECT article_id, full_text, source, label FROM cleaned WHERE label IS NOT NULL",
     "sink_vectors": """SELECT vec_id AS article_id, CAST(len(embedding) AS int) AS dims, round(sqrt(
         list_dot_product(CAST(embedding AS double[]), CAST(embedding AS double[]))), 6) AS norm
         FROM embeddings""",
@@ -484,8 +484,10 @@ BODIES = {
         {template(V.SNIPPET, url='url', title='title', content='left(content, 800)')} AS evidence_text
         FROM corpus""",
     "verdict_prompt": f"""SELECT c.article_id, {quoted(V.VERDICT_INSTRUCTION)} || chr(10) || chr(10) ||
-        {template(V.VERDICT_MESSAGE, article='full_text', summary="''", evidence='evidence_text')}
-        AS prompt FROM cleaned c LEFT JOIN evidence e ON c.article_id = e.article_id""",
+        {template(V.VERDICT_MESSAGE, article='full_text', summary="coalesce(s.title, '')", evidence='evidence_text')}
+        AS prompt FROM (SELECT article_id, full_text FROM cleaned) c
+        LEFT JOIN evidence e ON c.article_id = e.article_id
+        LEFT JOIN corpus s ON s.page_id = c.article_id""",
     "verified_article": """SELECT a.article_id, a.title, q.query, coalesce(e.sources, '') AS sources,
         v.verdict, v.confidence, v.explanation FROM articles a JOIN verdicts v USING (article_id)
         LEFT JOIN evidence e USING (article_id) LEFT JOIN queries q USING (article_id)""",

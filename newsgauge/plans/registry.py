@@ -101,7 +101,7 @@ def sink_partitioned(spark, sf_dir):
     path = new_path(spark, "by-label")
     labelled = views.cleaned_articles(spark, sf_dir).where(F.col("label").isNotNull())
     sinks.sink_partitioned(labelled.select("article_id", "full_text", "source", "label"), path)
-    return spark.read.parquet(path).where(F.col("label") == "fake")
+    return spark.read.parquet(path)
 
 
 @query
@@ -513,8 +513,15 @@ def search_evidence(spark, sf_dir):
 @query
 def verdict_prompt(spark, sf_dir):
     articles = views.cleaned_documents(spark, sf_dir).select("article_id", "full_text")
-    with_evidence = EV.attach_evidence(articles, _evidence(spark, sf_dir))
-    prompt = PR.verdict_prompt(F.col("full_text"), F.lit(""), F.col("evidence_text"))
+    # The title of the page with the article's number stands in for the search's own answer.
+    answers = views.evidence_corpus(spark, sf_dir).select(
+        F.col("page_id").alias("article_id"), F.col("title").alias("answer")
+    )
+    with_evidence = EV.attach_evidence(articles, _evidence(spark, sf_dir)).join(
+        answers, "article_id", "left"
+    )
+    answer = F.coalesce("answer", F.lit(""))
+    prompt = PR.verdict_prompt(F.col("full_text"), answer, F.col("evidence_text"))
     return with_evidence.select("article_id", prompt.alias("prompt"))
 
 

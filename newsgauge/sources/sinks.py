@@ -36,8 +36,8 @@ def sink_partitioned(
     rebalanced.write.mode(mode).option("maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*keys).parquet(path)
 
 
-def sink_vectors(df: DataFrame, path: str, mode: str = "append") -> None:
-    """Vectors keyed by article, appended; no position addressing."""
+def sink_vectors(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Vectors keyed by article; a repeated run replaces them, unless ``mode`` says append."""
     vectors = df.select(
         F.col("article_id").cast("bigint"), F.col("embedding").cast("array<float>").alias("embedding")
     )

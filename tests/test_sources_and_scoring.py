@@ -135,10 +135,12 @@ def test_partitioned_sink_is_pruned(spark):
     assert os.path.isdir(f"{path}/source=big/label=fake")
 
 
-def test_vector_sink_appends(spark):
+def test_vector_sink_replaces_or_appends(spark):
     path = new_path(spark, "vec")
-    for i in range(2):
-        sinks.sink_vectors(spark.createDataFrame([(i, [1.0, 2.0])], "article_id long, embedding array<double>"), path)
+    vector = lambda i: spark.createDataFrame([(i, [1.0, 2.0])], "article_id long, embedding array<double>")
+    for _ in range(2):  # a repeated run leaves no second copy
+        sinks.sink_vectors(vector(0), path)
+    sinks.sink_vectors(vector(1), path, mode="append")
     df = spark.read.parquet(path)
     assert df.count() == 2 and dict(df.dtypes)["embedding"] == "array<float>"
 
@@ -186,6 +188,32 @@ def test_failed_articles_come_again(spark):
     assert spark.read.parquet(output).count() == rows
 
 
+class OneBadTask:
+    """Fails on one of the seven prompts of an article."""
+
+    def __call__(self, prompts):
+        if any(p.startswith(V.VOC_PROMPT.split("{")[0]) for p in prompts):
+            raise RuntimeError("no answer")
+        return ["0.5"] * len(prompts)
+
+
+@pytest.mark.parametrize("steps", [1, 3])
+def test_only_prompts_without_a_good_reply_are_asked_again(spark, steps):
+    output = new_path(spark, "per-prompt")
+    IN.score_new(spark, article_frame(spark), output, OneBadTask, steps=steps)
+    first = spark.read.parquet(output)
+    assert (first.count(), first.where("status <> 'ok'").count()) == (21, 3)
+    IN.score_new(spark, article_frame(spark), output, Echo, max_chars=3, steps=steps)
+    everything = spark.read.parquet(output)
+    assert everything.count() == 24
+    assert IN.latest_replies(everything).where("status = 'ok'").count() == 21
+
+
+def test_lengths_are_parameters(spark):
+    (row,) = PR.embedding_inputs(article_frame(spark, [(1, "abcdef")]), lengths=(4, 2)).collect()
+    assert [p.count("abcd") for p in row.candidates] == [1, 0] and "ab" in row.candidates[1]
+
+
 def test_profile_from_replies(spark):
     rows = [(1, "vreg", None, "0.4"), (1, "voc", None, "-2"), (1, "eireg", "anger", "x"), (1, "eireg", "joy", "7"),
             (1, "ec", None, "Joy!"), (2, "vreg", None, None)]
