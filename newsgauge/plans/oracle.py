@@ -491,10 +491,15 @@ BODIES = {
     "verified_article": """SELECT a.article_id, a.title, q.query, coalesce(e.sources, '') AS sources,
         v.verdict, v.confidence, v.explanation FROM articles a JOIN verdicts v USING (article_id)
         LEFT JOIN evidence e USING (article_id) LEFT JOIN queries q USING (article_id)""",
-    "assemble_prompt_inputs": """SELECT c.article_id, c.full_text, c.label, n.neighbours,
-        round(a.vreg, 6) AS vreg, v.verdict, v.confidence FROM cleaned c
-        LEFT JOIN (SELECT article_id, string_agg(CAST(neighbour_id AS varchar), ',' ORDER BY rank)
-          AS neighbours FROM neighbours GROUP BY article_id) n USING (article_id)
+    "assemble_prompt_inputs": """SELECT c.article_id, c.full_text, c.label, n.neighbours, n.examples,
+        round(a.vreg, 6) AS vreg, v.verdict, v.confidence, v.explanation FROM cleaned c
+        LEFT JOIN (SELECT n.article_id,
+            string_agg(CAST(neighbour_id AS varchar), ',' ORDER BY rank) AS neighbours,
+            string_agg(CAST(neighbour_id AS varchar) || ':' || coalesce(o.label, 'none') || ':'
+              || coalesce(CAST(CAST(round(s.vreg * 1000) AS int) AS varchar), 'none') || ':'
+              || left(o.full_text, 40), ' | ' ORDER BY rank) AS examples
+          FROM neighbours n LEFT JOIN cleaned o ON o.article_id = n.neighbour_id
+          LEFT JOIN affect s ON s.article_id = n.neighbour_id GROUP BY n.article_id) n USING (article_id)
         LEFT JOIN (SELECT article_id, vreg FROM affect) a USING (article_id)
         LEFT JOIN verdicts v USING (article_id)""",
     "standardize": "SELECT article_id, "

@@ -545,8 +545,17 @@ def assemble_prompt_inputs(spark, sf_dir):
         views.affect(spark, sf_dir),
         EV.parse_verdicts(views.verdict_raw(spark, sf_dir)),
     )
+    examples = F.transform(
+        "neighbours",
+        lambda n: F.concat_ws(
+            ":", n["neighbour_id"].cast("string"), F.coalesce(n["label"], F.lit("none")),
+            F.coalesce(F.round(n["vreg"] * 1000).cast("int").cast("string"), F.lit("none")),
+            F.left(n["text"], F.lit(40)),
+        ),
+    )
     neighbours = joined(F.col("neighbours.neighbour_id").cast("array<string>"))
-    return rounded(result.withColumn("neighbours", neighbours), 6, "vreg")
+    named = result.withColumn("examples", F.array_join(examples, " | "))
+    return rounded(named.withColumn("neighbours", neighbours), 6, "vreg")
 
 
 # --- classification ------------------------------------------------------------------------

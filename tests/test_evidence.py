@@ -140,11 +140,16 @@ def test_assembled_inputs_are_in_rank_order(spark):
     schema = "article_id long, full_text string, label string"
     articles = spark.createDataFrame([(1, "t", "fake"), (2, "u", None)], schema)
     schema = "article_id long, neighbour_id long, cosine double, rank int"
-    neighbours = spark.createDataFrame([(1, 9, 0.1, 2), (1, 8, 0.9, 1)], schema)
-    affect = spark.createDataFrame([(1, 0.3)], "article_id long, vreg double")
-    verdicts = spark.createDataFrame([(2, "SUPPORTED", 0.7)], "article_id long, verdict string, confidence double")
+    neighbours = spark.createDataFrame([(1, 9, 0.1, 3), (1, 8, 0.9, 1), (1, 2, 0.5, 2)], schema)
+    affect = spark.createDataFrame([(1, 0.3), (2, 0.6)], "article_id long, vreg double")
+    schema = "article_id long, verdict string, confidence double, explanation string"
+    verdicts = spark.createDataFrame([(2, "SUPPORTED", 0.7, "why")], schema)
     out = EV.assemble_prompt_inputs(articles, neighbours, affect, verdicts)
     out = out.orderBy("article_id").collect()
-    assert [n.neighbour_id for n in out[0].neighbours] == [8, 9]
+    assert [n.neighbour_id for n in out[0].neighbours] == [8, 2, 9]
+    assert [(n.text, n.label, n.vreg) for n in out[0].neighbours] == [
+        (None, None, None), ("u", None, 0.6), (None, None, None)
+    ]
+    assert out[1].explanation == "why"
     assert out[0].vreg == 0.3 and out[0].verdict is None
     assert out[1].neighbours is None and out[1].verdict == "SUPPORTED"
