@@ -7,6 +7,7 @@ the task. Every cell is one task's work of a bounded size.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -32,12 +33,14 @@ def score_grid(
 
     Blocks have at most about ``left_rows`` and ``right_rows`` rows and, where a SQL expression
     for the size of a row is given, ``BLOCK_UNITS`` units, so that long rows make more blocks.
+    There are at least as many cells as the cluster has cores, if there are rows for them.
     """
+    least = math.isqrt(2 * left.sparkSession.sparkContext.defaultParallelism)
 
     def blocks(side: DataFrame, rows: int) -> int:
         size = F.sum(F.expr(units)) if units else F.lit(0)
         n, total = side.agg(F.count(F.lit(1)), size).first()
-        return max(1, -(-n // rows), -(-(total or 0) // BLOCK_UNITS))
+        return max(1, min(n, least), -(-n // rows), -(-(total or 0) // BLOCK_UNITS))
 
     left_blocks, right_blocks = blocks(left, left_rows), blocks(right, right_rows)
 
