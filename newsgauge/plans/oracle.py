@@ -497,7 +497,7 @@ BODIES = {
             string_agg(CAST(neighbour_id AS varchar), ',' ORDER BY rank) AS neighbours,
             string_agg(CAST(neighbour_id AS varchar) || ':' || coalesce(o.label, 'none') || ':'
               || coalesce(CAST(CAST(round(s.vreg * 1000) AS int) AS varchar), 'none') || ':'
-              || left(o.full_text, 40), ' | ' ORDER BY rank) AS examples
+              || coalesce(left(o.full_text, 40), ''), ' | ' ORDER BY rank) AS examples
           FROM neighbours n LEFT JOIN cleaned o ON o.article_id = n.neighbour_id
           LEFT JOIN affect s ON s.article_id = n.neighbour_id GROUP BY n.article_id) n USING (article_id)
         LEFT JOIN (SELECT article_id, vreg FROM affect) a USING (article_id)

@@ -550,7 +550,7 @@ def assemble_prompt_inputs(spark, sf_dir):
         lambda n: F.concat_ws(
             ":", n["neighbour_id"].cast("string"), F.coalesce(n["label"], F.lit("none")),
             F.coalesce(F.round(n["vreg"] * 1000).cast("int").cast("string"), F.lit("none")),
-            F.left(n["text"], F.lit(40)),
+            F.coalesce(F.left(n["text"], F.lit(40)), F.lit("")),
         ),
     )
     neighbours = joined(F.col("neighbours.neighbour_id").cast("array<string>"))
