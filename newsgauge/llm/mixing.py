@@ -202,14 +202,18 @@ def solve(
     scored: DataFrame,
     targets: np.ndarray | None = None,
     weights: dict[str, float] | None = None,
-    ridge: float = RIDGE,
+    ridge: float | np.ndarray = RIDGE,
 ) -> np.ndarray:
     """The scaled residuals y of the best rates for target totals.
 
-    Targets are tokens per domain; with ``weights`` instead, that share of all tokens each.
+    Targets are tokens per domain; with ``weights`` instead, that share of all tokens each. A
+    ``ridge`` for each domain divides the square of its residual in the sum that is minimised.
     ``scored`` is read once a pass and should be stored.
     """
     k = len(DOMAINS)
+    ridge = np.broadcast_to(np.asarray(ridge, dtype=float), (k,))
+    # A domain of any share is solved to the same accuracy.
+    enough = 1e-10 * np.minimum(1.0, ridge / RIDGE)
     y = np.zeros(k)
     expected, gram = _sums(scored, y)
     total = expected.sum()
@@ -222,17 +226,20 @@ def solve(
     def residual(y: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return expected / total - goal - ridge * y
 
+    def length(off: np.ndarray) -> float:
+        return np.linalg.norm(off / np.sqrt(ridge))
+
     off = residual(y, expected)
     for _ in range(PASSES):
-        if np.abs(off).max() < 1e-10:
+        if (np.abs(off) < enough).all():
             break
-        step = np.linalg.solve(gram / total + ridge * np.eye(k), off)
+        step = np.linalg.solve(gram / total + np.diag(ridge), off)
         size = 1.0
         while True:
             trial = y + size * step
             expected, trial_gram = _sums(scored, trial)
             trial_off = residual(trial, expected)
-            if np.linalg.norm(trial_off) < np.linalg.norm(off) or size < 1 / 64:
+            if length(trial_off) < length(off) or size < 1 / 64:
                 break
             size /= 2
         y, off, gram = trial, trial_off, trial_gram
@@ -249,25 +256,45 @@ def mixing_rates(docs: DataFrame, labels: DataFrame, weights: dict[str, float] =
     return scored.withColumn("rate", rate(solve(scored, weights=weights)))
 
 
+def solve_without(
+    scored: DataFrame, without: tuple[str, ...], ridge: float = MIX_RIDGE
+) -> np.ndarray:
+    """The scaled residuals y for the present totals of all domains, and zero for ``without``.
+
+    The ridge of a domain is ``ridge`` times its own expected share, and the share that it has in
+    common with the domains of the other side (wanted or not), which no rate can tell apart. So
+    y of an unwanted domain is about 1 / (1 + ridge) whether it has half of all tokens or one
+    document, and a document's rate is about one less its unwanted posterior.
+    """
+    expected, gram = _sums(scored, np.zeros(len(DOMAINS)))
+    kept = np.array([d not in without for d in DOMAINS])
+    common = np.where(kept[:, None] != kept[None, :], gram, 0.0).sum(axis=1)
+    ridges = (ridge * expected + common) / (expected.sum() or 1.0)
+    return solve(
+        scored, np.where(kept, expected, 0.0), ridge=np.where(ridges > 0, ridges, ridge)
+    )
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
     without: tuple[str, ...] = ("toxic",),
     ridge: float = MIX_RIDGE,
+    model: Model | None = None,
 ) -> DataFrame:
     """The rows of ``docs`` whose rate rounds to one or more, each once.
 
-    Targets are the present totals of all domains, and zero for those in ``without``. The ridge is
-    stronger than for ``mixing_rates``: documents that have a little of an unwanted domain, as all
-    have, keep rates near one, and those that mostly belong to it get rates near zero.
+    Targets are the present totals of all domains, and zero for those in ``without``, with the
+    ridges of ``solve_without``: documents that have a little of an unwanted domain, as all have,
+    keep rates near one, and those that mostly belong to it get rates near zero, however few they
+    are. Without a ``model`` one is fitted on the labelled rows of ``docs``.
     """
     columns = [F.col(f"`{c}`").alias(f"_in_{i}") for i, c in enumerate(docs.columns)]
     held = docs.select(F.col("doc_id"), F.col("text"), *columns)
     names = [f"_in_{i}" for i in range(len(docs.columns))]
-    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
+    if model is None:
+        model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), labels)
     narrow = materialize(docs.sparkSession, posteriors(held.select("text"), model, []), "posteriors")
-    expected, _ = _sums(narrow, np.zeros(len(DOMAINS)))
-    kept = np.array([d not in without for d in DOMAINS])
-    y = solve(narrow, np.where(kept, expected, 0.0), ridge=ridge)
+    y = solve_without(narrow, without, ridge)
     scored = posteriors(held, model, names).where(rate(y) >= 0.5)
     return scored.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])

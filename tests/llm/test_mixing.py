@@ -96,3 +96,39 @@ def test_mix_drops_toxic_and_keeps_the_rest(spark):
     same = M.mix(edge_documents(spark), labels_of(spark).where("false"))
     assert same.count() == edge_documents(spark).count()
     assert M.mix(no_documents(spark), labels_of(spark)).collect() == []
+
+
+@pytest.mark.parametrize("share", [0.3, 0.01, 0.001, 1e-6, 1e-11])
+def test_rates_without_a_domain_do_not_depend_on_its_share(spark, share):
+    """Certain documents of the domain go and others stay, whatever share of the tokens it has."""
+    rnd = np.random.default_rng(5)
+    clean = 1_000_000_000_000
+    rows = [(i, clean // 1000, 0.95 - t, 0.05, t) for i, t in enumerate(rnd.uniform(0, 0.02, 1000).tolist())]
+    toxic = max(1, round(clean * share / (1 - share) / 4))
+    rows += [(2000 + i, toxic, 0.98 - p, 0.02, p) for i, p in enumerate((0.98, 0.97, 0.9, 0.7))]
+    rows += [(3000, 1, 0.0, 0.0, 1.0), (3001, 1, 0.65, 0.0, 0.35), (3002, 1, 0.85, 0.0, 0.15)]
+    scored = spark.createDataFrame(
+        rows, "doc_id long, n_tokens long, p_high double, p_low double, p_toxic double"
+    )
+    y = M.solve_without(scored, ("toxic",))
+    rates = {r.doc_id: r.r for r in scored.select("doc_id", M.rate(y).alias("r")).collect()}
+    assert all(rates[i] < 0.4 for i in (2000, 2001, 2002, 2003)) and rates[3000] < 0.05
+    assert all(rates[i] > 0.6 for i in [*range(1000), 3001, 3002])
+
+
+def test_mix_drops_few_toxic_documents(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    model = M.fit(docs, labels)
+    scored = M.posteriors(docs, model, ["doc_id"]).toPandas()
+    certain = sorted(scored[scored.p_toxic > 0.9].doc_id)
+    clean = docs.join(
+        spark.createDataFrame([(i,) for i in scored[scored.p_toxic > 0.3].doc_id], "doc_id long"),
+        "doc_id", "left_anti",
+    ).select(docs.columns)
+    n = clean.count()
+    assert n > 9000 and len(certain) > n // 100
+    for some in (certain[: n // 100], certain[: n // 1000], certain[:1]):
+        few = clean.unionByName(docs.where(F.col("doc_id").isin(some)))
+        left = {r.doc_id for r in M.mix(few, labels, model=model).select("doc_id").collect()}
+        assert not left & set(some) and len(left) == n
