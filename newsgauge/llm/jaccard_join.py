@@ -310,7 +310,8 @@ def _linked(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFr
     counts = links.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("n_links"))
     roots = components(links.select("u", "v")).join(classes.select("node", "class_id"), "node")
     # The smallest id of a group, and the text that has it.
-    leaders = roots.groupBy("root").agg(F.min(F.struct("class_id", "node")).alias("leader"))
+    order = F.struct(F.col("class_id").isNull().alias("nameless"), "class_id", "node")
+    leaders = roots.groupBy("root").agg(F.min(order).alias("leader"))
     groups = roots.join(leaders, "root").select("node", "leader")
     described = classes.select("node", "class_id", (F.col("rows") - 1).alias("n_copies")).join(
         counts, "node", "left"

@@ -95,6 +95,15 @@ def test_one_document_of_each_group_stays(spark):
     assert J.keep_one(no_documents(spark)).collect() == []
 
 
+def test_near_copy_without_an_id_leads_no_group(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(7, " ".join(words)), (None, " ".join([*words[:99], "x"])), (5, " ".join(["y", *words[1:]])),
+            (None, " ".join([*words[:99], "x"])), (None, "alone without an id or a copy")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r[4] for r in check(docs)} == {5, None}
+    assert sorted(str(r.doc_id) for r in J.keep_one(docs).collect()) == ["5", "None"]
+
+
 def test_pruning_bound_is_the_posterior():
     least = J.least_matches(0.8, 1e-9)
     for n, m in least.items():
