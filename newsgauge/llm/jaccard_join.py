@@ -192,7 +192,7 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, block in blocks(batch):
             hashes, first = distinct_per_text(*shingles(block, WORDS))
             packed = signatures(hashes, first)
-            names = ["node", "root", "n_blocks"]
+            names = ["node", "root", "n_blocks", "class_id"]
             yield pa.RecordBatch.from_arrays(
                 [*(rows.column(rows.schema.get_field_index(c)) for c in names),
                  pa.array([row.tobytes() for row in packed], pa.binary()),
@@ -202,24 +202,32 @@ def _prepared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _cell_links(
+    cell: pa.Table, least: dict[int, int], threshold: Fraction
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The linked pairs of a cell, and their similarity."""
+    signature = fixed_bytes(cell.column("signature"), _SIGNATURE_BYTES).view(np.uint16)
+    left, right = _pairs(np.asarray(cell.column("side")))
+    left, right = plausible(signature, left, right, least)
+    if not len(left):
+        return left, right, np.zeros(0)
+    sets = [np.frombuffer(s, dtype=np.uint64) for s in cell.column("shingles").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    both = intersections(sets, left, right)
+    union = sizes[left] + sizes[right] - both
+    linked = both * threshold.denominator >= threshold.numerator * union
+    return left[linked], right[linked], both[linked] / union[linked]
+
+
 def _link_cells(least: dict[int, int], threshold: Fraction):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in cells(batches, ["root", "low", "high"]):
             if cell.num_rows < 2:
                 continue
-            signature = fixed_bytes(cell.column("signature"), _SIGNATURE_BYTES).view(np.uint16)
-            left, right = _pairs(np.asarray(cell.column("side")))
-            left, right = plausible(signature, left, right, least)
-            if not len(left):
-                continue
-            sets = [np.frombuffer(s, dtype=np.uint64) for s in cell.column("shingles").to_pylist()]
-            sizes = np.array([len(s) for s in sets])
-            both = intersections(sets, left, right)
-            union = sizes[left] + sizes[right] - both
-            linked = both * threshold.denominator >= threshold.numerator * union
-            left, right = left[linked], right[linked]
-            links = np.bincount(left, minlength=len(sets)) + np.bincount(right, minlength=len(sets))
-            label = forest(left, right, len(sets))
+            left, right, _ = _cell_links(cell, least, threshold)
+            n = cell.num_rows
+            links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+            label = forest(left, right, n)
             some = np.flatnonzero(links)
             nodes = cell.column("node").to_pylist()
             yield pa.RecordBatch.from_arrays(
@@ -232,10 +240,42 @@ def _link_cells(least: dict[int, int], threshold: Fraction):
     return run
 
 
-def _linked(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
-    """``doc_id, node`` of every document, and what is known of every node."""
+def _leader_cells(least: dict[int, int], threshold: Fraction):
+    """For each text of a cell its number of links, and the nearest one of smaller id."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cell in cells(batches, ["root", "low", "high"]):
+            if cell.num_rows < 2:
+                continue
+            left, right, likeness = _cell_links(cell, least, threshold)
+            n = cell.num_rows
+            links = np.bincount(left, minlength=n) + np.bincount(right, minlength=n)
+            ids = np.asarray(cell.column("class_id"))
+            upper = np.where(ids[left] > ids[right], left, right)
+            lower = left + right - upper
+            order = np.lexsort((ids[lower], -likeness, upper))
+            order = order[(ids[lower] < ids[upper])[order]]
+            led, first = np.unique(upper[order], return_index=True)
+            leader, jaccard = np.zeros(n, dtype=np.int64), np.zeros(n)
+            leader[led], jaccard[led] = ids[lower[order[first]]], likeness[order[first]]
+            none = np.ones(n, dtype=bool)
+            none[led] = False
+            some = np.flatnonzero(links)
+            nodes = cell.column("node").to_pylist()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([nodes[i] for i in some], pa.binary()),
+                 pa.array(leader[some], pa.int64(), mask=none[some]),
+                 pa.array(jaccard[some], pa.float64(), mask=none[some]),
+                 pa.array(links[some], pa.int64())],
+                names=["node", "leader_id", "jaccard", "links"],
+            )
+
+    return run
+
+
+def _grouped(docs: DataFrame, least: dict[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """A row for every document, one for every node, and the cells in which nodes are compared."""
     spark = docs.sparkSession
-    least = least_matches(threshold, tolerance)
     named = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), node_of(_text()).alias("node"),
         _text().alias("text"),
@@ -293,14 +333,21 @@ def _linked(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFr
             wanted.withColumnRenamed("node", "class_node").hint("merge"),
             F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("node") == F.col("class_node")),
         )
-        .select("node", "root", "n_blocks", "text")
+        .select("node", "root", "n_blocks", named["doc_id"].alias("class_id"), "text")
     )
     prepared = texts.mapInArrow(
-        _prepared, "node binary, root binary, n_blocks long, signature binary, shingles binary"
+        _prepared, "node binary, root binary, n_blocks long, class_id long, signature binary, shingles binary",
     ).dropDuplicates(["node"])
+    return sketches, classes, _split(prepared, "root", "n_blocks")
+
+
+def _linked(docs: DataFrame, threshold: float, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node`` of every document, and what is known of every node."""
+    least = least_matches(threshold, tolerance)
+    sketches, classes, compared = _grouped(docs, least)
     links = materialize(
-        spark,
-        _split(prepared, "root", "n_blocks").mapInArrow(
+        docs.sparkSession,
+        compared.mapInArrow(
             _link_cells(least, Fraction(threshold).limit_denominator(1000)),
             "u binary, v binary, links long",
         ),
@@ -338,6 +385,39 @@ def jaccard_join(
     )
 
 
+def leaders(
+    docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
+) -> DataFrame:
+    """``doc_id, leader_id, jaccard, n_links`` of the documents that are linked to, or copies of,
+    one of smaller id: the most similar of these (of several the smallest id), and the number of
+    different texts the document is linked to. Null ids and texts without words take no part.
+    """
+    least = least_matches(threshold, tolerance)
+    rows, classes, compared = _grouped(docs.where("doc_id is not null"), least)
+    found = compared.mapInArrow(
+        _leader_cells(least, Fraction(threshold).limit_denominator(1000)),
+        "node binary, leader_id long, jaccard double, links long",
+    )
+    nearest = F.struct((-F.col("jaccard")).alias("distance"), "leader_id")
+    best = found.groupBy("node").agg(
+        F.sum("links").alias("n_links"),
+        F.min(F.when(F.col("leader_id").isNotNull(), nearest)).alias("best"),
+    )
+    copy = F.col("doc_id") > F.col("class_id")
+    return (
+        rows.select("doc_id", "node")
+        .join(classes.where("signature is not null").select("node", "class_id"), "node")
+        .join(best, "node", "left")
+        .select(
+            "doc_id",
+            F.when(copy, F.col("class_id")).otherwise(F.col("best.leader_id")).alias("leader_id"),
+            F.when(copy, 1.0).otherwise(-F.col("best.distance")).alias("jaccard"),
+            F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        )
+        .where("leader_id is not null")
+    )
+
+
 def keep_one(
     docs: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE
 ) -> DataFrame:

@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsgauge.llm.blocks import Block, blocks, distinct_per_text, mix, shingles
-from newsgauge.session import materialize
+from newsgauge.llm.blocks import Block, blocks, mix, shingles
 
 WORDS = 5
 PERMUTATIONS = 128
@@ -171,71 +170,13 @@ def fingerprints(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     )
 
 
-_SKETCH = pa.schema([
-    ("doc_id", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary()),
-])
-
-
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for rows, block in blocks(batch):
-            hashes, first = distinct_per_text(*shingles(block, WORDS))
-            packed = signatures(hashes, first)
-            some = np.flatnonzero(np.diff(first))
-            yield pa.RecordBatch.from_arrays(
-                [rows.column(0).take(pa.array(some)),
-                 pa.array([packed[i].tobytes() for i in some], pa.binary()),
-                 pa.array([hashes[first[i] : first[i + 1]].tobytes() for i in some], pa.binary())],
-                schema=_SKETCH,
-            )
-
-
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        likeness = []
-        for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            likeness.append(both / (len(x) + len(y) - both))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(likeness, pa.float64())],
-            names=["doc_id", "leader_id", "jaccard"],
-        )
-
-
 def near_leaders(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id, leader_id, jaccard``: documents and smaller ids they are near copies of.
+    """``doc_id, leader_id, jaccard, n_links``: documents and the nearest smaller id they are near
+    copies of.
 
-    Signature bands are joined with the smallest id of each band bucket, so a bucket of any size
-    gives one candidate per document, not all pairs; candidates are verified on whole shingle sets.
-    Texts without words and null ids have no leaders.
+    Signature bands are joined, all members of a bucket are compared in bounded blocks, and
+    Jaccard is verified on whole shingle sets, by the cells of ``jaccard_join``.
     """
-    rows = docs.where("doc_id is not null").select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
-    )
-    sketches = materialize(
-        docs.sparkSession,
-        rows.mapInArrow(_sketch, "doc_id long, signature binary, shingles binary"),
-        "sketches",
-    )
-    width = 2 * BAND_ROWS
-    band = F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS // BAND_ROWS - 1)))
-    buckets = sketches.select("doc_id", "signature", band.alias("band")).select(
-        "doc_id",
-        F.xxhash64(
-            "band", F.substring("signature", F.col("band") * width + 1, F.lit(width))
-        ).alias("bucket"),
-    )
-    leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("leader_id"))
-    pairs = (
-        buckets.join(leaders, "bucket").where("leader_id < doc_id")
-        .select("doc_id", "leader_id").distinct()
-    )
-    sets = sketches.select("doc_id", "shingles")
-    other = sets.select(F.col("doc_id").alias("leader_id"), F.col("shingles").alias("others"))
-    return (
-        pairs.join(sets, "doc_id").join(other, "leader_id")
-        .select("doc_id", "leader_id", "shingles", "others")
-        .mapInArrow(_verified, "doc_id long, leader_id long, jaccard double")
-        .where(F.col("jaccard") >= threshold)
-    )
+    from newsgauge.llm import jaccard_join  # which needs this module's signatures
+
+    return jaccard_join.leaders(docs, threshold)

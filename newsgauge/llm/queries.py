@@ -40,6 +40,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op1_near_leaders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_leaders(table(spark, sf_dir, "documents"))
+
+
 @query
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))

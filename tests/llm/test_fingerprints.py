@@ -92,3 +92,26 @@ def test_near_leaders_are_verified(spark):
     assert all(i in exact for i in texts if i >= 9000)
     assert minhash.near_leaders(edge_documents(spark)).count() >= 1
     assert minhash.near_leaders(no_documents(spark)).collect() == []
+
+
+def test_near_leaders_of_a_large_family(spark):
+    """Texts that share a passage are at 0.79, pairs of them above 0.8."""
+    core = " ".join(f"c{i}" for i in range(1000))
+    rows = [(0, core + "".join(f" z{i}" for i in range(132)))]
+    for k in range(60):
+        both = "".join(f" p{k}.{i}" for i in range(16))
+        for side in (0, 1):
+            own = "".join(f" q{k}.{side}.{i}" for i in range(116))
+            rows.append((1 + 2 * k + side, core + both + own))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [shingles(t) for _, t in sorted(rows)]
+    want = set()
+    for i, a in enumerate(sets):
+        near = [(len(a & b) / len(a | b), j) for j, b in enumerate(sets) if j != i]
+        near = [(s, j) for s, j in near if s >= 0.8]
+        if any(j < i for _, j in near):
+            best, leader = min((-s, j) for s, j in near if j < i)
+            want.add((i, leader, round(-best, 9), len(near)))
+    assert len(want) == 60
+    got = [(r.doc_id, r.leader_id, round(r.jaccard, 9), r.n_links) for r in minhash.near_leaders(docs).collect()]
+    assert sorted(got) == sorted(want)
