@@ -22,6 +22,7 @@ from newsgauge.llm import (
     suffix_dedup,
     token_counts,
     token_files,
+    tree_packing,
     url_rules,
 )
 from newsgauge.plans.views import table
@@ -106,3 +107,11 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("removed").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op13_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tree_packing.packed_pieces(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+        with_ids=False,
+    )
