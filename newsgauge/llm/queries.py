@@ -23,6 +23,7 @@ from newsgauge.llm import (
     token_counts,
     token_files,
     tree_packing,
+    turn_repair,
     url_rules,
 )
 from newsgauge.plans.views import table
@@ -115,3 +116,8 @@ def op13_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
         with_ids=False,
     )
+
+
+@query
+def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
