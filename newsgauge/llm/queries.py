@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsgauge.llm import (
+    alignment,
     jaccard_join,
     minhash,
     mixing,
@@ -121,3 +122,13 @@ def op13_tree_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.Alignment(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.json"),
+        public_tokenizers.path("piece_bpe_32k.model"),
+    )
+    return aligned.documents()
