@@ -40,7 +40,7 @@ from newsgauge.llm.tokens import encoder
 from newsgauge.session import materialize
 
 WORK = 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 MARK = "▁"
 
 
@@ -153,9 +153,9 @@ class MergePath:
         used = np.arange(work)[None, :] < steps[:, None]
         # Groups closed by the pieces before, and by the steps of the piece before this one.
         closes &= used
-        inside = np.cumsum(closes, axis=1)
-        before = np.concatenate(([0], np.cumsum(inside[:, -1])[:-1])) if pieces else np.zeros(0, int)
-        group = before[:, None] + inside - closes
+        inside = np.cumsum(closes, axis=1, dtype=np.int32)
+        before = np.concatenate(([0], np.cumsum(inside[:, -1])))[:-1] if pieces else np.zeros(0, int)
+        group = (before[:, None] + inside - closes).astype(np.int32)
         links &= used
         self.link_a, self.link_b = at_a[links], at_b[links]
         self.group_a = group[from_a & used]
