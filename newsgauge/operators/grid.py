@@ -63,6 +63,43 @@ def score_grid(
     return lefts.groupBy(*cells).cogroup(rights.groupBy(*cells)).applyInPandas(cell, RESULT)
 
 
+def score_routes(
+    routes: DataFrame,
+    source: DataFrame,
+    cell: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame],
+    left_rows: int = LEFT_ROWS,
+    right_rows: int = RIGHT_ROWS,
+) -> DataFrame:
+    """Score rows only against the blocks they are sent to: ``left_id, right_id, score``.
+
+    ``routes`` has ``left_id, block`` and may name a row several times, ``source`` has ``right_id,
+    block``. Where a block has more rows than a cell may hold, on either side, it is dealt to several
+    cells, so that a block that everything is sent to is no hot spot.
+    """
+    # Renewed columns, as both sides may come from one table.
+    routes, source = (df.select([F.col(c).alias(c) for c in df.columns]) for df in (routes, source))
+
+    def parts(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    cells = parts(routes, left_rows, "lefts").join(parts(source, right_rows, "rights"), "block")
+
+    def dealt(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        count = "lefts" if own == "left_part" else "rights"
+        every = "rights" if count == "lefts" else "lefts"
+        return (
+            df.join(cells, "block")
+            .withColumn(own, F.pmod(F.xxhash64(key), F.col(count)).cast("int"))
+            .withColumn(other, F.explode(F.sequence(F.lit(0), F.col(every) - 1)))
+            .drop("lefts", "rights")
+        )
+
+    keys = ["block", "left_part", "right_part"]
+    lefts = dealt(routes, "left_id", "left_part", "right_part").groupBy(*keys)
+    rights = dealt(source, "right_id", "right_part", "left_part").groupBy(*keys)
+    return lefts.cogroup(rights).applyInPandas(cell, RESULT)
+
+
 def best_per_row(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column numbers of the k highest finite scores per row; ties go to the left.
 

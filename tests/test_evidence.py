@@ -5,6 +5,7 @@ import re
 import pytest
 
 from newsgauge.operators import evidence as EV
+from newsgauge.operators import maxscore
 from newsgauge.operators import retrieval as RE
 
 
@@ -153,3 +154,28 @@ def test_assembled_inputs_are_in_rank_order(spark):
     assert out[1].explanation == "why"
     assert out[0].vreg == 0.3 and out[0].verdict is None
     assert out[1].neighbours is None and out[1].verdict == "SUPPORTED"
+
+
+def test_bounds_keep_blocks_and_pairs_out(spark):
+    rng = random.Random(9)
+
+    def text(language, n):
+        words = [f"{language}{i}" for i in range(400)]
+        return " ".join(rng.choices(words, [1 / (i + 1) for i in range(400)], k=n))
+
+    pages = [(j, text("abcdefgh"[j % 8], 30)) for j in range(640)]
+    articles = [(i, text("abcdefgh"[i % 8], 40)) for i in range(160)]
+    work = maxscore.Work.of(spark)
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=3, block_rows=40, work=work)
+    assert answers(out) == brute_force(articles, pages, 3)
+    visits, touched, completed = (a.value for a in (work.visits, work.touched, work.completed))
+    # Of 16 blocks a row visits those of its language; of 640 pages few are scored to the end.
+    assert 160 <= visits < 160 * 16 / 3
+    assert completed < touched < 160 * 640 / 4 and completed < 160 * 640 / 8
+
+
+def test_keys_in_many_blocks(spark):
+    pages = [(j, f"all{j % 2} some{j % 7} one{j}") for j in range(90)]
+    articles = [(i, f"all0 some{i % 9} one{i * 7}") for i in range(40)]
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=4, block_rows=9)
+    assert answers(out) == brute_force(articles, pages, 4)
