@@ -1,8 +1,9 @@
-"""Exact cosine top-k neighbours from other domains."""
+"""Cosine top-k neighbours from other domains: exact, or by an inverted-file index."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,11 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgauge.functions.vectors import norm
-from newsgauge.operators.grid import best_per_row, score_grid, top_k
+from newsgauge.operators.grid import RESULT, best_per_row, score_grid, score_routes, top_k
 from newsgauge.operators.skew import first_ids, join_lookup
 from newsgauge.session import materialize
 
 DIGITS = 9
+RECALL = 0.93
+TRIAL_ROWS = 512
+SAMPLE_VALUES = 4_000_000
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -65,39 +69,147 @@ def retrieve_top_k(
     neighbours, so copies are collapsed first. All blocks of targets then meet all blocks of the
     source, at every size of the tables.
     """
+    scored = lambda searched, found: score_grid(
+        searched, found, _cosine_cell(k), block_rows, block_rows, "size(embedding)"
+    )
+    return _answers(targets, source, k, scored)
+
+
+def _keyed(vectors: DataFrame) -> DataFrame:
+    length = norm(F.col("embedding"))
+    # NaN is above infinity.
+    known = F.col("domain").isNotNull()
+    usable = vectors.where(known & (length > 0) & (length <= F.lit(math.inf)))
+    return usable.select(
+        F.col("article_id").alias("id"), "domain", "embedding",
+        F.xxhash64("embedding").alias("c1"),
+        F.xxhash64(F.lit("second"), "embedding").alias("c2"),
+    )
+
+
+def _answers(targets: DataFrame, source: DataFrame | None, k: int, score) -> DataFrame:
+    """Search distinct vectors by ``score``, and give every copy the answer of its search."""
     spark = targets.sparkSession
     copy_key = ["domain", "c1", "c2"]
-
-    def keyed(vectors: DataFrame) -> DataFrame:
-        length = norm(F.col("embedding"))
-        # NaN is above infinity.
-        known = F.col("domain").isNotNull()
-        usable = vectors.where(known & (length > 0) & (length <= F.lit(math.inf)))
-        return usable.select(
-            F.col("article_id").alias("id"), "domain", "embedding",
-            F.xxhash64("embedding").alias("c1"),
-            F.xxhash64(F.lit("second"), "embedding").alias("c2"),
-        )
-
-    first = materialize(spark, first_ids(keyed(targets), copy_key, "id", k), "vectors")
+    first = materialize(spark, first_ids(_keyed(targets), copy_key, "id", k), "vectors")
     searched = first.where(F.col("place") == 1)
-    found = first if source is None else first_ids(keyed(source), copy_key, "id", k)
-    scored = score_grid(
+    found = first if source is None else first_ids(_keyed(source), copy_key, "id", k)
+    scored = score(
         searched.select(F.col("id").alias("left_id"), "domain", "embedding"),
         found.select(F.col("id").alias("right_id"), "domain", "embedding"),
-        _cosine_cell(k), block_rows, block_rows, "size(embedding)",
     )
     keys = searched.select(F.col("id").alias("left_id"), *copy_key)
     answers = top_k(scored, k).join(keys, "left_id").select(
         *copy_key, F.col("right_id").alias("neighbour_id"), F.col("score").alias("cosine"), "rank"
     )
-    # Every copy gets the answer of its search.
-    copies = keyed(targets).select(F.col("id").alias("article_id"), *copy_key)
+    copies = _keyed(targets).select(F.col("id").alias("article_id"), *copy_key)
     return join_lookup(copies, answers, copy_key).select(
         "article_id", "neighbour_id", "cosine", "rank"
     )
 
 
+# --- inverted lists ------------------------------------------------------------------------
+
+
+def fit_centroids(vectors: np.ndarray, lists: int, rounds: int = 10) -> np.ndarray:
+    """Unit centres of some unit vectors: Lloyd rounds by cosine from evenly spaced rows."""
+    centres = vectors[np.linspace(0, len(vectors) - 1, lists).astype(int)]
+    for _ in range(rounds):
+        nearest = (vectors @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, vectors)
+        length = np.sqrt((sums * sums).sum(axis=1, keepdims=True))
+        centres = np.where(length > 0, sums / np.where(length > 0, length, 1.0), centres)
+    return centres
+
+
+def probes_for(
+    units: np.ndarray, domains: np.ndarray, centres: np.ndarray, k: int, recall: float
+) -> int:
+    """How many lists the first rows have to look into to find that share of their neighbours."""
+    trial, own = units[:TRIAL_ROWS], domains[:TRIAL_ROWS]
+    scores = trial @ units.T
+    scores[own[:, None] == domains[None, :]] = -np.inf
+    rows, columns = best_per_row(scores, k)
+    if not len(rows):
+        return 1
+    order = np.argsort(np.argsort(-(trial @ centres.T), axis=1, kind="stable"), axis=1)
+    place = order[rows, (units @ centres.T).argmax(axis=1)[columns]]
+    return int(np.quantile(place, recall, method="higher")) + 1
+
+
+def _list_column(centres: np.ndarray, probes: int, only: dict[int, object], unused: list[int]):
+    """Add ``block``: the nearest lists of a row; lists of nothing but its own domain are no use."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            near = _unit_rows(batch["embedding"]) @ centres.T
+            near[:, unused] = -np.inf
+            for number, domain in only.items():
+                near[batch["domain"].to_numpy() == domain, number] = -np.inf
+            wanted = min(probes, len(centres))
+            lists = np.argsort(-near, axis=1, kind="stable")[:, :wanted]
+            row, column = np.nonzero(np.isfinite(np.take_along_axis(near, lists, axis=1)))
+            yield batch.iloc[row].assign(block=lists[row, column].astype("int32"))
+
+    return run
+
+
+def retrieve_by_lists(
+    targets: DataFrame,
+    k: int = 4,
+    source: DataFrame | None = None,
+    lists: int | None = None,
+    probes: int | None = None,
+    recall: float = RECALL,
+    sample_values: int = SAMPLE_VALUES,
+) -> DataFrame:
+    """``retrieve_top_k`` by an inverted-file index: bounded work per target, cosines exact.
+
+    Centroids are fitted on a sample of the source of at most ``sample_values`` numbers; by default
+    there are about as many lists as the square root of its rows. Every row of the source is put
+    into the list of its nearest centroid, every target compared with all rows of the ``probes``
+    nearest lists that hold other domains; a neighbour in a list not probed is missed. If not given,
+    ``probes`` is the least number that finds the share ``recall`` of the neighbours which the first
+    ``TRIAL_ROWS`` rows of the sample have in the sample: few where vectors lie in clusters, half
+    of the lists where they lie anywhere. Large lists are dealt to several cells.
+    """
+
+    def score(searched: DataFrame, found: DataFrame) -> DataFrame:
+        spark = searched.sparkSession
+        found = materialize(spark, found, "found")
+        shape = found.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+        n, size = shape[0], max(1, shape[1] or 1)
+        # The smallest hashes: the same rows on any partitioning.
+        sample = found.orderBy(F.xxhash64("right_id"), "right_id").limit(max(1, sample_values // size))
+        rows = sample.select("domain", "embedding").toPandas()
+        if rows.empty:
+            return spark.createDataFrame([], RESULT)
+        units = _unit_rows(rows["embedding"])
+        wanted = lists or math.isqrt(n)
+        centres = fit_centroids(units, max(1, min(wanted, len(units) // 4)))
+        name = searched.schema["domain"].dataType.simpleString()
+        fields = "id long, domain {}, embedding array<double>, block int".format(name)
+
+        def listed(df: DataFrame, key: str, count: int, only: dict, unused: list[int]) -> DataFrame:
+            wide = df.select(
+                F.col(key).alias("id"), "domain", F.col("embedding").cast("array<double>").alias("embedding")
+            )
+            return wide.mapInPandas(_list_column(centres, count, only, unused), fields).withColumnRenamed("id", key)
+
+        index = materialize(spark, listed(found, "right_id", 1, {}, []), "lists")
+        domains = index.groupBy("block").agg(F.min("domain").alias("a"), F.max("domain").alias("b")).collect()
+        only = {r["block"]: r["a"] for r in domains if r["a"] == r["b"]}
+        unused = sorted(set(range(len(centres))) - {r["block"] for r in domains})
+        count = probes or probes_for(units, rows["domain"].to_numpy(), centres, k, recall)
+        routes = listed(searched, "left_id", count, only, unused)
+        return score_routes(routes, index, _cosine_cell(k))
+
+    return _answers(targets, source, k, score)
+
+
 def vector_check(vectors: DataFrame) -> DataFrame:
     """One row: number of vectors, shortest and longest size, smallest and largest norm."""
     return vectors.select(F.size("embedding").alias("s"), norm(F.col("embedding")).alias("n")).agg(

@@ -478,6 +478,11 @@ def retrieve_top4(spark, sf_dir):
     return RE.retrieve_top_k(views.vectors(spark, sf_dir), 4)
 
 
+@query
+def retrieve_by_lists(spark, sf_dir):
+    return RE.retrieve_by_lists(views.vectors(spark, sf_dir), 4)
+
+
 # --- evidence and verdicts -----------------------------------------------------------------
 
 

@@ -90,6 +90,42 @@ def test_one_domain_has_no_neighbours(spark):
     assert RE.retrieve_top_k(df, 4).count() == 0
 
 
+def recall(found, exact):
+    return len({r[:2] for r in found} & {r[:2] for r in exact}) / len(exact)
+
+
+def test_lists_find_most_neighbours(spark):
+    """Recall against brute force, over the given vectors and over a table with a hot vector."""
+    vectors = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr(
+        "vec_id as article_id", "label as domain", "embedding"
+    )
+    exact = answers(RE.retrieve_top_k(vectors, 4))
+    found = answers(RE.retrieve_by_lists(vectors, 4))
+    assert recall(found, exact) >= 0.9
+    assert {r[0] for r in found} == {r[0] for r in exact}
+    rows = clustered(900)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    assert recall(answers(RE.retrieve_by_lists(df, 4)), brute_force(rows, 4)) >= 0.9
+
+
+def test_all_lists_probed_is_exact(spark):
+    rows = clustered()
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = answers(RE.retrieve_by_lists(df, 4, lists=5, probes=5, sample_values=400))
+    assert found == brute_force(rows, 4)
+    targets, source = [r for r in rows if r[0] % 4], [r for r in rows if r[0] % 4 == 0]
+    both = [spark.createDataFrame(r, SCHEMA) for r in (targets, source)]
+    assert answers(RE.retrieve_by_lists(both[0], 3, both[1], lists=4, probes=4)) == answers(
+        RE.retrieve_top_k(both[0], 3, both[1])
+    )
+
+
+def test_lists_of_nothing(spark):
+    assert RE.retrieve_by_lists(spark.createDataFrame([], SCHEMA)).collect() == []
+    one = spark.createDataFrame([(1, "a", [1.0]), (2, "a", [2.0])], SCHEMA)
+    assert RE.retrieve_by_lists(one).collect() == []
+
+
 def test_invariants(spark, sf_dir):
     from newsgauge.plans import views
 
