@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,6 +16,7 @@ from pyspark.sql import functions as F
 
 from newsgauge.functions import fixed_values as V
 from newsgauge.functions.affect import is_fake, label_name
+from newsgauge.operators import one_pass
 from newsgauge.operators.classify import (
     FOLDS,
     CentroidModel,
@@ -61,24 +61,28 @@ def kmeans_labels(
     features: Sequence[str] = tuple(V.FEATURES),
     restarts: int = 20,
     seed: int = V.SEED,
-    parallelism: int = 8,
 ) -> DataFrame:
-    """Two clusters, best of several starts: ``article_id, label, cluster, pred``."""
-    data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-
-    def fit(s: int):
-        # Stops where the centres' squared moves add up to at most 1e-4 (variances are 1).
-        model = KMeans(k=2, seed=s, maxIter=300, tol=math.sqrt(1e-4 / 2)).fit(data)
-        return -model.summary.trainingCost, model
+    """Two clusters, best of several starts: ``article_id, label, cluster, pred``.
 
+    All restarts share their passes over the rows (``one_pass``); cluster 0 has the smaller centre.
+    """
+    z = list(features)
+    scaled = Scaler.fit(df, features).transform(df).select("article_id", "label", *z)
+    data = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _best_fit(fit, range(seed, seed + restarts), parallelism)
-        fake_cluster = _vote(model.transform(data).withColumnRenamed("prediction", "cluster"))
+        found = one_pass.two_means(data, z, "article_id", restarts, seed)
+        if found is None:
+            return data.sparkSession.createDataFrame(
+                [], f"article_id {data.schema['article_id'].dataType.simpleString()}, label string, "
+                "cluster int, pred int",
+            )
+        cluster = one_pass.nearest_of_two(z, found[0])
+        fake_cluster = _vote(data.withColumn("cluster", cluster))
     finally:
         data.unpersist()
-    return model.transform(data).select(
-        "article_id", "label", F.col("prediction").alias("cluster"),
-        (F.col("prediction") == fake_cluster).cast("int").alias("pred"),
+    return scaled.select(
+        "article_id", "label", cluster.alias("cluster"),
+        (cluster == fake_cluster).cast("int").alias("pred"),
     )
 
 
@@ -178,31 +182,23 @@ def logreg_cv(
     features: Sequence[str] = tuple(V.FEATURES),
     folds: int = FOLDS,
     seed: int = V.SEED,
-    parallelism: int = FOLDS,
 ) -> DataFrame:
     """Mean and std of the weighted scores over shuffled stratified folds.
 
-    Each fold's model is fitted, scaler included, on the other folds.
+    Each fold's model is fitted, scaler included, on the other folds; all of them share their passes
+    over the rows (``one_pass``).
     """
     data = (
         stratified_folds(df, folds=folds, seed=seed)
         .select("fold", is_fake(F.col("label")).alias("y"), *features)
+        .na.fill(V.MISSING_FEATURE, subset=list(features))
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
     try:
-        with ThreadPool(parallelism) as pool:
-            models = pool.map(
-                lambda i: _classifier(data.where(F.col("fold") != i), features, 1.0), range(folds)
-            )
-        scored = None
-        for i, model in enumerate(models):
-            part = model.transform(data.where(F.col("fold") == i)).select(
-                "fold", "y", F.col("prediction").cast("int").alias("pred")
-            )
-            scored = part if scored is None else scored.unionByName(part)
-        scores = weighted_scores(scored, ["fold"])
+        models = one_pass.FoldModels.fit(data, features, folds)
+        scored = data.select("fold", "y", models.prediction().alias("pred"))
         metrics = ["f1_weighted", "accuracy", "precision_weighted", "recall_weighted"]
-        rows = cv_summary(scores, metrics).collect()
+        rows = cv_summary(weighted_scores(scored, ["fold"]), metrics).collect()
     finally:
         data.unpersist()
     return df.sparkSession.createDataFrame(rows, "metric string, mean double, std double")

@@ -290,6 +290,118 @@ def _scores(source: str, key: str | None) -> str:
                           CAST(count(*) AS double) AS n FROM {source}{group}) a) b) c"""
 
 
+def _newton_views(steps: int = 8) -> dict[str, str]:
+    """Logistic regressions by a fixed number of Newton steps, model -1 on all rows and one per fold.
+
+    A step sums gradient and Gram matrix, eliminates column by column and substitutes back.
+    """
+    d = len(V.FEATURES)
+    weights = range(d + 1)
+    upper = [(a, b) for a in weights for b in range(a, d + 1)]
+    z = lambda a: f"z{a}" if a < d else "1"
+    score = " + ".join(f"w{a} * {z(a)}" for a in weights)
+    views = {
+        "lr_groups": """SELECT m.i AS model, t.* FROM range(-1, 5) m(i)
+          JOIN in_shuffled_folds t ON m.i = -1 OR t.fold <> m.i""",
+        "lr_scaling": "SELECT model, "
+        + ", ".join(
+            f"avg({c}) AS m{a}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s{a}"
+            for a, c in enumerate(V.FEATURES)
+        )
+        + " FROM lr_groups GROUP BY model",
+        "lr_rows": "SELECT g.model, g.y, "
+        + ", ".join(f"(g.{c} - s.m{a}) / s.s{a} AS z{a}" for a, c in enumerate(V.FEATURES))
+        + " FROM lr_groups g JOIN lr_scaling s USING (model)",
+        "lr_w0": "SELECT model, "
+        + ", ".join(f"CAST(0 AS double) AS w{a}" for a in weights)
+        + " FROM lr_scaling",
+    }
+    for k in range(steps):
+        sums = [
+            f"sum(p * (1 - p) * {z(a)} * {z(b)}){' + 1' if a == b < d else ''} AS h{a}_{b}" for a, b in upper
+        ]
+        sums += [f"sum((p - y) * {z(a)}){f' + any_value(w{a})' if a < d else ''} AS g{a}" for a in weights]
+        views[f"lr_e{k}_0"] = f"""SELECT model, {', '.join(f'any_value(w{a}) AS w{a}' for a in weights)},
+            {', '.join(sums)}
+          FROM (SELECT r.*, w.* EXCLUDE (model), 1 / (1 + exp(-({score}))) AS p
+                FROM lr_rows r JOIN lr_w{k} w USING (model)) x GROUP BY model"""
+        for j in range(d):
+            cells = [
+                f"h{a}_{b} - h{j}_{a} * h{j}_{b} / h{j}_{j} AS h{a}_{b}" if a > j else f"h{a}_{b}"
+                for a, b in upper
+            ]
+            cells += [
+                f"g{a} - h{j}_{a} * g{j} / h{j}_{j} AS g{a}" if a > j else f"g{a}" for a in weights
+            ]
+            views[f"lr_e{k}_{j + 1}"] = f"""SELECT model, {', '.join(f'w{a}' for a in weights)},
+                {', '.join(cells)} FROM lr_e{k}_{j}"""
+        source = f"lr_e{k}_{d}"
+        for a in reversed(weights):
+            rest = "".join(f" - h{a}_{b} * x{b}" for b in range(a + 1, d + 1))
+            views[f"lr_x{k}_{a}"] = f"SELECT *, (g{a}{rest}) / h{a}_{a} AS x{a} FROM {source}"
+            source = f"lr_x{k}_{a}"
+        views[f"lr_w{k + 1}"] = (
+            "SELECT model, " + ", ".join(f"w{a} - x{a} AS w{a}" for a in weights) + f" FROM {source}"
+        )
+    scaled = " + ".join(f"w.w{a} * (t.{c} - s.m{a}) / s.s{a}" for a, c in enumerate(V.FEATURES))
+    last = f"lr_w{steps}"
+    views["lr_predictions"] = f"""SELECT t.fold, t.y, CASE WHEN {scaled} + w.w{d} > 0 THEN 1 ELSE 0 END AS pred
+      FROM in_shuffled_folds t JOIN {last} w ON w.model = t.fold JOIN lr_scaling s ON s.model = t.fold"""
+    views["lr_scores"] = _scores("lr_predictions", "fold")
+    views["lr_weights"] = " UNION ALL ".join(
+        f"SELECT '{c}' AS feature, w{a} AS weight FROM {last} WHERE model = -1"
+        for a, c in enumerate(V.FEATURES)
+    )
+    views["lr_classified"] = f"""SELECT t.article_id, t.label, 1 / (1 + exp(-({scaled} + w.w{d}))) AS p
+      FROM filled t, {last} w, lr_scaling s WHERE w.model = -1 AND s.model = -1"""
+    return views
+
+
+def _means_views(restarts: int = 20, steps: int = 60, seed: int = V.SEED) -> dict[str, str]:
+    """Two-means from given starts: each restart moves until its step is at most 1e-4, squared."""
+    d = range(len(V.FEATURES))
+    z = [f"z{a}" for a in d]
+    number = "CAST('0x' || substr(md5(CAST(article_id AS varchar) || '-' || {}), 1, 15) AS bigint)"
+
+    def far(c: int) -> str:
+        return " + ".join(f"pow(z{a} - c{c}_{a}, 2)" for a in d)
+
+    views = {
+        "km_rows": "SELECT article_id, label, y, "
+        + ", ".join(f"({c} - m_{c}) / s_{c} AS z{a}" for a, c in enumerate(V.FEATURES))
+        + " FROM filled, scaling",
+        "km_first": f"""SELECT r, {', '.join(f'arg_min({x}, h) AS c0_{a}' for a, x in enumerate(z))}
+          FROM (SELECT *, {number.format('CAST(r AS varchar)')} AS h
+                FROM km_rows, range({seed}, {seed + restarts}) starts(r)) x GROUP BY r""",
+        "km_s0": f"""SELECT r, {', '.join(f'any_value(c0_{a}) AS c0_{a}' for a in d)},
+            {', '.join(f'arg_min({x}, h) AS c1_{a}' for a, x in enumerate(z))}, false AS done
+          FROM (SELECT *, -ln(({number.format("CAST(-r AS varchar)")} + 0.5) / pow(2.0, 60)) / ({far(0)}) AS h
+                FROM km_rows, km_first WHERE ({far(0)}) > 0) x GROUP BY r""",
+    }
+    pairs = [(c, a) for c in (0, 1) for a in d]
+    for k in range(steps):
+        sums = ", ".join(
+            f"coalesce(avg(z{a}) FILTER (cluster = {c}), any_value(c{c}_{a})) AS n{c}_{a}, "
+            f"any_value(c{c}_{a}) AS c{c}_{a}"
+            for c, a in pairs
+        )
+        moved = " + ".join(f"pow(n{c}_{a} - c{c}_{a}, 2)" for c, a in pairs)
+        new = ", ".join(f"CASE WHEN done THEN c{c}_{a} ELSE n{c}_{a} END AS c{c}_{a}" for c, a in pairs)
+        views[f"km_s{k + 1}"] = f"""SELECT r, {new}, done OR {moved} <= 1e-4 AS done
+          FROM (SELECT r, any_value(done) AS done, {sums}
+                FROM (SELECT *, CASE WHEN {far(1)} < {far(0)} THEN 1 ELSE 0 END AS cluster
+                      FROM km_rows, km_s{k}) x GROUP BY r) y"""
+    views["km_best"] = f"""SELECT * FROM (SELECT *, row_number() OVER (ORDER BY cost, r) AS place
+        FROM (SELECT r, round(sum(least({far(0)}, {far(1)})), 6) AS cost, {', '.join(
+            f'any_value(c{c}_{a}) AS c{c}_{a}' for c, a in pairs
+        )} FROM km_rows, km_s{steps} GROUP BY r) x) y WHERE place = 1"""
+    views["km_clusters"] = f"""SELECT article_id, label, y, CASE WHEN c0_0 <= c1_0
+          THEN CASE WHEN {far(1)} < {far(0)} THEN 1 ELSE 0 END
+          ELSE CASE WHEN {far(0)} < {far(1)} THEN 1 ELSE 0 END END AS cluster FROM km_rows, km_best"""
+    return views
+
+
+VIEWS |= _newton_views() | _means_views()
 VIEWS |= _cv_views("cv", "fold") | _cv_views("gcv", "global")
 VIEWS["report"] = _scores("nearest", None)
 
@@ -529,4 +641,19 @@ BODIES = {
 BODIES["stream_scores"] = BODIES["score_batch"]
 BODIES["score_new"] = BODIES["score_batch"]
 
+BODIES |= {
+    "logreg_weights": """SELECT feature, round(weight, 6) AS weight,
+        CASE WHEN weight > 0 THEN 'FAKE' ELSE 'REAL' END AS direction FROM lr_weights""",
+    "classify_affect": """SELECT article_id, label, CASE WHEN p > 0.5 THEN 'fake' ELSE 'real' END AS affect_pred,
+        round(greatest(p, 1 - p), 4) AS affect_confidence FROM lr_classified""",
+    "logreg_cv": " UNION ALL ".join(
+        f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM lr_scores"
+        for m in SCORES
+    ),
+    "kmeans_labels": """SELECT article_id, label, cluster, CAST(cluster = (SELECT CASE WHEN
+          coalesce(avg(y) FILTER (cluster = 0), 0) > coalesce(avg(y) FILTER (cluster = 1), 0)
+          THEN 0 ELSE 1 END FROM km_clusters WHERE label IS NOT NULL) AS int) AS pred FROM km_clusters""",
+}
+BODIES["model_roundtrip"] = BODIES["classify_affect"]
+
 ORACLE = {name: _with(body) for name, body in BODIES.items()}
