@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import io
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from newsgauge.functions.fixed_values import NA_STRINGS
 from newsgauge.functions.text import read_ec_repr
 from newsgauge.operators.clean import nan_to_null
+from newsgauge.sources.csv_records import csv_records
 
 ARTICLE_SCHEMA = T.StructType(
     [
@@ -63,74 +64,69 @@ _CSV = {
     "quote": '"', "escape": '"', "nullValue": "", "emptyValue": "", "mode": "FAILFAST",
     "maxCharsPerColumn": -1,
 }
-HEADER_READS = 16
+
+
+def _cells(records: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The cells of CSV records as strings."""
+    as_strings = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    options = {k: str(v) for k, v in _CSV.items()}
+    return records.select("file", F.from_csv("record", as_strings.simpleString(), options).alias("c"))
 
 
 def _by_header(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType,
-    multi_line: bool,
     extra: Sequence[Column] = (),
     recursive: bool = False,
 ) -> DataFrame:
     """Cells of CSV files as strings, found by the column names in each file's header.
 
     Columns a file does not have are null, its other columns are ignored, and their order does
-    not matter. Headers are read a few files at a time; files of one header are one scan.
+    not matter. The headers of all files are read by one job; ``extra`` may use the column ``file``.
     """
-    options = {**_CSV, "multiLine": multi_line}
-    listed = spark.read.option("recursiveFileLookup", recursive).text(path).inputFiles()
-    files = sorted(unquote(f) for f in listed)
-
-    def header(file: str) -> tuple[str, ...]:
-        return tuple(spark.read.csv(file, header=True, **options).columns)
-
-    groups: dict[tuple[str, ...], list[str]] = {}
-    with ThreadPoolExecutor(HEADER_READS) as pool:
-        for file, names in zip(files, pool.map(header, files)):
-            groups.setdefault(names, []).append(file)
-
-    def scan(names: tuple[str, ...], part: list[str]) -> DataFrame:
-        as_strings = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        cells = spark.read.schema(as_strings).csv(part, header=True, **options)
+    records = csv_records(spark, path, recursive)
+    headers: dict[str, list[str]] = {}
+    for row in records.where("first").select("file", "record").collect():
+        headers.setdefault(row["record"], []).append(row["file"])
+    if not headers:
+        raise FileNotFoundError(f"no CSV file with a header in {path}")
+    rows = records.where("not first")
+    if len(headers) > 1:
+        files = [(file, n) for n, part in enumerate(headers.values()) for file in part]
+        rows = rows.join(spark.createDataFrame(files, "file string, header int"), "file")
+
+    def scan(number: int, header: str) -> DataFrame:
+        names = next(csv.reader(io.StringIO(header, newline="")))
+        mine = rows if len(headers) == 1 else rows.where(F.col("header") == number)
+        cells = _cells(mine, [f"_{i}" for i in range(len(names))])
+        at = {name: f"c._{i}" for i, name in reversed(list(enumerate(names)))}
         wanted = [
-            F.col(f"`{f.name}`") if f.name in names else F.lit(None).cast("string").alias(f.name)
+            (F.col(at[f.name]) if f.name in at else F.lit(None).cast("string")).alias(f.name)
             for f in schema
         ]
         return cells.select(*wanted, *extra)
 
-    scans = [scan(names, part) for names, part in groups.items() if names]
-    if not scans:
-        raise FileNotFoundError(f"no CSV file with a header in {path}")
-    return reduce(DataFrame.unionByName, scans)
+    return reduce(DataFrame.unionByName, [scan(n, h) for n, h in enumerate(headers)])
 
 
 def scan_csv_strings(
-    spark: SparkSession,
-    path: str | Sequence[str],
-    schema: T.StructType,
-    header: bool = True,
-    multi_line: bool = True,
+    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, header: bool = True
 ) -> DataFrame:
     """CSV cells as written, all strings, by the names in the header.
 
-    ``header=False`` takes columns by position and returns a header as a row. ``multi_line`` reads
-    quoted line breaks, but gives one task per file: write large CSV as many files, or turn it off
-    where no cell holds a line break, and files are split.
+    ``header=False`` takes columns by position and returns a header as a row. Cells may hold line
+    breaks in quotes; every file is read by as many tasks as its size asks for.
     """
     if header:
-        return _by_header(spark, path, schema, multi_line)
-    return spark.read.schema(_strings(schema)).csv(
-        path, header=False, multiLine=multi_line, enforceSchema=True, **_CSV
-    )
+        return _by_header(spark, path, schema)
+    cells = _cells(csv_records(spark, path), [f"_{i}" for i in range(len(schema))])
+    return cells.select([F.col(f"c._{i}").alias(f.name) for i, f in enumerate(schema)])
 
 
-def scan_csv(
-    spark: SparkSession, path: str | Sequence[str], schema: T.StructType, multi_line: bool = True
-) -> DataFrame:
+def scan_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType) -> DataFrame:
     """CSV with a header, typed by an explicit schema, missing-value strings as null."""
-    cells = scan_csv_strings(spark, path, schema, multi_line=multi_line)
+    cells = scan_csv_strings(spark, path, schema)
     return nan_to_null(cells.select([_typed(f) for f in schema]))
 
 
@@ -145,7 +141,6 @@ def scan_labelled_files(
     path: str | Sequence[str],
     schema: T.StructType = ARTICLE_SCHEMA,
     name_pattern: str = r"([^/]+)$",
-    multi_line: bool = True,
 ) -> DataFrame:
     """All CSV files of a folder in one scan, with source and label taken from each file's name.
 
@@ -153,8 +148,8 @@ def scan_labelled_files(
     the label is fake if the name contains "fake". An existing source or label is replaced.
     """
     kept = T.StructType([f for f in schema if f.name not in ("source", "label")])
-    found = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), name_pattern, 1)
-    cells = _by_header(spark, path, kept, multi_line, [found.alias("_name")], recursive=True)
+    found = F.regexp_extract(F.url_decode(F.col("file")), name_pattern, 1)
+    cells = _by_header(spark, path, kept, [found.alias("_name")], recursive=True)
     named = cells.select(*[_typed(f) for f in kept], "_name")
     return named.select(
         *[c for c in named.columns if c != "_name"],
