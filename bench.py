@@ -38,6 +38,9 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        # A line per query, so that a run that is stopped shows how far it came.
+        print(f"{name} {seconds[name]} s", file=sys.stderr, flush=True)
+    spark.stop()
     shutil.rmtree(folder, ignore_errors=True)
     print(
         json.dumps(

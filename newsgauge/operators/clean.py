@@ -108,6 +108,30 @@ def with_row_id(df: DataFrame, name: str = "article_id") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def with_row_number(df: DataFrame, name: str = "row") -> DataFrame:
+    """Dense row numbers 0..n-1 in the order of the rows: partition by partition, unsorted.
+
+    The rows of every partition are counted by one job; a row's number is that of the rows in the
+    partitions before, one number per partition, plus its place in its own. ``df`` is read twice
+    and has to come out alike, as a stored table does, or a union of stored tables.
+    """
+    spread = 1 << 33  # the ids of a partition, as Spark documents them
+    task = F.floor(F.monotonically_increasing_id() / spread).cast("int")
+    counts = df.select(task.alias("task")).groupBy("task").agg(F.count(F.lit(1)).alias("n")).collect()
+    at, offsets = 0, []
+    for row in sorted(counts):
+        offsets.append((row["task"], at))
+        at += row["n"]
+    bases = df.sparkSession.createDataFrame(offsets, "_task int, _base long")
+    numbered = df.withColumn("_id", F.monotonically_increasing_id())
+    return (
+        numbered.withColumn("_task", F.floor(F.col("_id") / spread).cast("int"))
+        .join(F.broadcast(bases), "_task")
+        .withColumn(name, F.col("_base") + F.col("_id") % spread)
+        .select(*[c for c in df.columns if c != name], name)
+    )
+
+
 def sample_n(
     df: DataFrame, key: Column, n: int = V.SAMPLE_ROWS, seed: int = V.SEED
 ) -> DataFrame:

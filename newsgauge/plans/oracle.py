@@ -538,6 +538,9 @@ BODIES = {
     "table_head": "SELECT * FROM articles ORDER BY article_id LIMIT 5",
     "concat_articles": """SELECT article_id, source, title, label FROM articles
         UNION ALL SELECT page_id, 'web', title, NULL FROM corpus""",
+    "row_numbers": """SELECT article_id, source, title, row_number() OVER (ORDER BY part, article_id) - 1 AS row
+      FROM (SELECT 0 AS part, article_id, source, title FROM articles
+        UNION ALL SELECT 1, page_id, NULL, title FROM corpus) x""",
     "sample_n": """SELECT l_orderkey, l_linenumber FROM lineitem ORDER BY substr(md5(
         CAST(l_orderkey AS varchar) || '-' || CAST(l_linenumber AS varchar) || '-42'), 1, 15),
         CAST(l_orderkey AS varchar) || '-' || CAST(l_linenumber AS varchar) LIMIT 15000""",

@@ -290,6 +290,14 @@ def concat_articles(spark, sf_dir):
     return CN.concat_articles(documents, pages)
 
 
+@query
+def row_numbers(spark, sf_dir):
+    """Documents, then pages, numbered in the order of their files."""
+    documents = views.documents(spark, sf_dir).select("article_id", "source", "title")
+    pages = views.evidence_corpus(spark, sf_dir).select(F.col("page_id").alias("article_id"), "title")
+    return CN.with_row_number(CN.concat_articles(documents, pages))
+
+
 @query
 def sample_n(spark, sf_dir):
     lines = views.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
