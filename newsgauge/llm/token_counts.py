@@ -1,14 +1,18 @@
 """Token counts of whole texts under a unigram tokenizer, without making the tokens.
 
-The vocabulary and its scores come from a public tokenizer file. A text is cut into words: spaces
-become the mark U+2581, one is put before a text that does not start with it, and a word runs from
-a mark to the next. Pieces never cross words, so a word's count is that of its best segmentation.
+The vocabulary and its scores come from a public tokenizer file. Spaces become the mark U+2581, and
+one is put before a text that does not start with it. A text is cut into words, each a run of marks
+and what follows up to the next mark, if no piece of the vocabulary holds a mark behind another
+character, so that no piece crosses words, and all scores are whole numbers, so that their sums are
+exact wherever they start. Then the counts of the words' best segmentations add up to that of the
+text. With any other vocabulary a text is one word, as the rounding of sums from its start decides
+between candidates.
 
 An Aho-Corasick automaton enumerates the vocabulary matches of a word; dynamic programming over
 their ends carries the best score and its number of pieces, not the pieces. Ties go to the
 candidate that starts first, as in the tokenizer's own search, whose order they follow. A character
 without a piece of its own costs the lowest score less ten and counts its UTF-8 bytes (byte
-fallback). Scores of this vocabulary are whole numbers, so sums are exact in any order.
+fallback). Scores are summed from the left as 64-bit floats.
 
 Counts of words are kept in a bounded table per worker. Defined results: a null or empty text has
 no tokens; repeated rows count each; a null doc_id stays null; other columns are not read.
@@ -16,6 +20,7 @@ no tokens; repeated rows count each; a null doc_id stays null; other columns are
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import ahocorasick
@@ -39,7 +44,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter(dict):
-    """Number of tokens of a word (without its mark), computed when first asked for."""
+    """Number of tokens of a word with its marks, computed when first asked for."""
 
     def __init__(self, pieces: list[tuple[str, float]]):
         super().__init__()
@@ -49,9 +54,12 @@ class Counter(dict):
                 self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
+        crossing = any(MARK in piece.lstrip(MARK) for piece, _ in pieces)
+        whole = all(float(score).is_integer() for _, score in pieces)
+        self.words = re.compile(f"{MARK}+[^{MARK}]*" if whole and not crossing else "(?s).+")
 
     def __missing__(self, word: str) -> int:
-        found = self.best(MARK + word)[1]
+        found = self.best(word)[1]
         if len(word) <= LONGEST_CACHED:
             if len(self) >= CACHE_WORDS:
                 self.clear()
@@ -88,7 +96,7 @@ class Counter(dict):
         if not text:
             return 0, 0
         marked = text.replace(" ", MARK)
-        words = (marked if marked.startswith(MARK) else MARK + marked).split(MARK)[1:]
+        words = self.words.findall(marked if marked.startswith(MARK) else MARK + marked)
         return len(words), sum(map(self.__getitem__, words))
 
 

@@ -44,7 +44,7 @@ def unigram():
     pieces = token_counts.vocabulary(PIECES)
     tokenizer = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=True))
     tokenizer.pre_tokenizer = pre_tokenizers.Metaspace(
-        replacement="▁", prepend_scheme="always", split=True
+        replacement="▁", prepend_scheme="always", split=False
     )
     return pieces, tokenizer
 
@@ -57,6 +57,32 @@ def test_counts_equal_the_library(spark, sf_dir):
     assert [counter.count(t)[1] for t in texts] == want
 
 
+def test_runs_of_spaces_take_their_pieces():
+    pieces, tokenizer = unigram()
+    counter = token_counts.Counter(pieces)
+    texts = ["a" + " " * 10 + "b", "x = 1\n        return  y", " " * 40, "  a", "a  ", "▁▁ ▁", " " * 5000 + "end"]
+    for text in texts:
+        assert counter.count(text)[1] == len(tokenizer.encode(text, add_special_tokens=False).ids), text
+    assert counter.count("a" + " " * 10 + "b") == (2, 3)
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+def test_fractional_scores(crossing):
+    """Scores whose sums round, over a small alphabet; with and without pieces across words."""
+    rnd = random.Random(crossing)
+    alphabet = ["a", "b", "c", "é", "▁"]
+    found = {"".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 5))) for _ in range(300)} | set(alphabet)
+    if not crossing:
+        found = {p for p in found if "▁" not in p.lstrip("▁")}
+    pieces = [("<unk>", -9.5)] + [(p, -round(rnd.uniform(0.1, 3), 2)) for p in sorted(found)]
+    counter = token_counts.Counter(pieces)
+    library = Tokenizer(models.Unigram(pieces, unk_id=0, byte_fallback=False))
+    library.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    for _ in range(400):
+        text = "".join(rnd.choice("abcé   ") for _ in range(rnd.randint(1, 60)))
+        assert counter.count(text)[1] == len(library.encode(text).ids), text
+
+
 def test_ties_go_to_the_piece_that_starts_first():
     pieces = [("<unk>", -9.0), ("▁", -1.0), ("a", -1.0), ("b", -1.0), ("ab", -2.0), ("▁a", -2.0)]
     counter = token_counts.Counter(pieces)
