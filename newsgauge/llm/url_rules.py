@@ -85,17 +85,44 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.concat(*[F.regexp_extract(tag, pattern, i) for i in (1, 2, 3)])
 
 
+_SCHEME = "^[A-Za-z][A-Za-z0-9+.-]*:"
+_PIECES = "(?s)^([^/?#]*://[^/?#]*)([^?#]*)(.*)$"
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments are carried out."""
+
+    def step(made: Column, segment: Column) -> Column:
+        return (
+            F.when(segment == ".", made)
+            .when(segment == "..", F.regexp_replace(made, "/[^/]*$", ""))
+            .otherwise(F.concat(made, F.lit("/"), segment))
+        )
+
+    segments = F.split(path, "/")
+    whole = F.aggregate(F.slice(segments, F.lit(2), F.size(segments)), F.lit(""), step)
+    ends_in_folder = F.element_at(segments, -1).isin(".", "..")
+    return F.when(path == "", path).otherwise(F.when(ends_in_folder, F.concat(whole, F.lit("/"))).otherwise(whole))
+
+
 def _resolved(link: Column, url: Column) -> Column:
-    """An absolute url for a link of a page."""
-    root = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*)", 1)
-    folder = F.regexp_extract(url, "(?s)^(.*?://[^/?#]*/(?:[^?#]*/)?)", 1)
-    return (
-        F.when(link.contains("://"), link)
+    """The absolute url a link of a page stands for, by the rules of RFC 3986."""
+    root, path = F.regexp_extract(url, _PIECES, 1), F.regexp_extract(url, _PIECES, 2)
+    query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)", 1)
+    own = F.regexp_extract(link, "(?s)^([^?#]*)", 1)
+    rest = F.regexp_extract(link, "(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(path, "(?s)^(.*/)", 1)
+    folder = F.when(folder == "", "/").otherwise(folder)
+    whole = (
+        F.when(link.rlike(_SCHEME), link)
         .when(link.startswith("//"), F.concat(F.substring_index(url, "//", 1), link))
-        .when(link.startswith("/"), F.concat(root, link))
-        .when(folder == "", F.concat(root, F.lit("/"), link))
-        .otherwise(F.concat(folder, link))
+        .when((own == "") & rest.startswith("?"), F.concat(root, path, rest))
+        .when(own == "", F.concat(root, path, query, rest))
+        .when(own.startswith("/"), F.concat(root, link))
+        .otherwise(F.concat(root, folder, link))
     )
+    parts = [F.regexp_extract(whole, _PIECES, i) for i in (1, 2, 3)]
+    return F.when(parts[0] == "", whole).otherwise(F.concat(parts[0], _without_dots(parts[1]), parts[2]))
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
@@ -174,10 +201,31 @@ links AS (
     WHEN regexp_matches(tag, '(?i)^<meta[^>]*\shttp-equiv\s*=\s*["'']?refresh\b')
     THEN regexp_extract(tag, '(?i)url\s*=\s*[''"]?([^''">]+)', 1) END, '&amp;', '&')) AS link
   FROM tags),
-edges AS (
-  SELECT url AS u, CASE WHEN contains(link, '://') THEN link
-    WHEN starts_with(link, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1) || link END AS v
+split_links AS (
+  SELECT url, link, regexp_extract(url, '(?s)^([^/?#]*://[^/?#]*)', 1) AS root,
+    regexp_extract(url, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS page_path,
+    regexp_extract(url, '(?s)^[^?#]*(\?[^#]*)', 1) AS query,
+    regexp_extract(link, '(?s)^([^?#]*)', 1) AS own, regexp_extract(link, '(?s)^[^?#]*(.*)$', 1) AS rest
   FROM links WHERE link <> ''),
+whole_links AS (
+  SELECT url, CASE WHEN regexp_matches(link, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN link
+    WHEN starts_with(link, '//') THEN split_part(url, '//', 1) || link
+    WHEN own = '' AND starts_with(rest, '?') THEN root || page_path || rest
+    WHEN own = '' THEN root || page_path || query || rest
+    WHEN starts_with(own, '/') THEN root || link
+    ELSE root || CASE WHEN contains(page_path, '/') THEN regexp_extract(page_path, '(?s)^(.*/)', 1)
+      ELSE '/' END || link END AS v
+  FROM split_links),
+pathed_links AS (
+  SELECT url, v, regexp_extract(v, '(?s)^([^/?#]*://[^/?#]*)', 1) AS root,
+    regexp_extract(v, '(?s)^[^/?#]*://[^/?#]*([^?#]*)', 1) AS path,
+    regexp_extract(v, '(?s)^[^/?#]*://[^/?#]*[^?#]*(.*)$', 1) AS rest FROM whole_links),
+edges AS (
+  SELECT url AS u, CASE WHEN root = '' OR path = '' THEN v ELSE root
+    || list_reduce(str_split(path, '/')[2:], lambda made, x: CASE WHEN x = '.' THEN made
+         WHEN x = '..' THEN regexp_replace(made, '/[^/]*$', '') ELSE made || '/' || x END, '')
+    || CASE WHEN regexp_matches(path, '(^|/)\.\.?$') THEN '/' ELSE '' END || rest END AS v
+  FROM pathed_links),
 urls AS (SELECT url FROM pages UNION SELECT u FROM edges UNION SELECT v FROM edges),
 parts AS (
   SELECT url, regexp_extract(url, '^([^#]*)', 1) AS node,

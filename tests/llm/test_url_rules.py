@@ -32,6 +32,18 @@ PLANTED = [
     (14, "http://a.net", ""),
     (15, "ftp://example.com/de/", ""),
     (16, "", ""),
+    # Links that are told apart from absolute ones, and resolved, only by the standard's rules.
+    (17, "https://n.com/x/y/z?k=1", canonical("../../de")),
+    (18, "https://n.com/de", canonical("http://a.net/x")),
+    (19, "https://n.com/list?page=1", canonical("?page=2")),
+    (20, "https://n.com/list?page=2", canonical("http://a.net/x")),
+    (21, "https://n.com/g", refresh("/go?u=https://x.org/fr/1")),
+    (22, "https://n.com/go?u=https://x.org/fr/1", canonical("http://a.net/x")),
+    (23, "https://n.com/f/a", canonical("./../f/./b/..")),
+    (24, "https://n.com/f/", canonical("//www.a.net/q")),
+    (25, "https://n.com", canonical("w?u=http://q")),
+    (26, "https://n.com/w?u=http://q", canonical("http://a.net/x")),
+    (27, "https://n.com/h", canonical("mailto:a@b")),
 ]
 
 
@@ -58,6 +70,8 @@ def test_planted_links(spark):
     assert [verdicts[i] for i in (1, 2, 3, 4, 5)] == ["block"] * 3 + ["allow"] * 2
     # 6 and 7 lead to a blocked page; 11 is allowed by rule, and 12 with it.
     assert [verdicts[i] for i in (6, 7, 11, 12)] == ["block", "block", "allow", "allow"]
+    # Each of 17 to 26 leads to a blocked page, directly or by the next one.
+    assert [verdicts[i] for i in range(17, 28)] == ["block"] * 10 + ["allow"]
 
 
 def test_redirect_table_and_clashing_columns(spark):
@@ -78,11 +92,13 @@ def test_no_pages(spark):
 
 def test_links_are_resolved(spark):
     rows = [("http://h.com/a/b?q#f", link) for link in
-            ("c", "/c", "//o.com/c", "https://o.com/c", "c?x=1&amp;y=2")]
+            ("c", "/c", "//o.com/c", "https://o.com/c", "c?x=1&amp;y=2", "?z", "#g", "../../up",
+             "./d/../e/.", "/go?u=https://o.com/", "http://o.com/a/../b")]
     pages = spark.createDataFrame(
         [(u, canonical(link)) for u, link in rows], "url string, html string"
     )
     assert sorted(r.v for r in U.link_edges(pages).collect()) == [
-        "http://h.com/a/c", "http://h.com/a/c?x=1&y=2", "http://h.com/c", "http://o.com/c",
-        "https://o.com/c",
+        "http://h.com/a/b?q", "http://h.com/a/b?z", "http://h.com/a/c", "http://h.com/a/c?x=1&y=2",
+        "http://h.com/a/e/", "http://h.com/c", "http://h.com/go?u=https://o.com/", "http://h.com/up",
+        "http://o.com/b", "http://o.com/c", "https://o.com/c",
     ]
