@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from newsgauge.functions import fixed_values as V
 from newsgauge.functions import text as TX
@@ -17,6 +20,23 @@ VECTOR_SCHEMA = "article_id bigint, embedding array<float>, status string"
 OK = "ok"
 
 
+def _one(scorer: Scorer, prompt: str) -> tuple[str | None, str]:
+    try:
+        return scorer([prompt])[0], OK
+    except Exception as error:  # noqa: BLE001 - the user's model may raise anything
+        return None, f"error: {error}"
+
+
+def _many(scorer: Scorer, batch: Sequence[str]) -> list[tuple[str | None, str]]:
+    try:
+        replies = list(scorer(batch))
+        if len(replies) == len(batch):
+            return [(reply, OK) for reply in replies]
+    except Exception:  # noqa: BLE001 - find the failing prompts one by one
+        pass
+    return [_one(scorer, prompt) for prompt in batch]
+
+
 def score_batch(
     prompts: DataFrame, make_scorer: Callable[[], Scorer], batch_rows: int = 64,
     partitions: int | None = None,
@@ -28,28 +48,13 @@ def score_batch(
     ``partitions`` spreads the prompts where the table has too few parts for the model's cost.
     """
 
-    def one(scorer: Scorer, prompt: str) -> tuple[str | None, str]:
-        try:
-            return scorer([prompt])[0], OK
-        except Exception as error:  # noqa: BLE001 - the user's model may raise anything
-            return None, f"error: {error}"
-
-    def many(scorer: Scorer, batch: Sequence[str]) -> list[tuple[str | None, str]]:
-        try:
-            replies = list(scorer(batch))
-            if len(replies) == len(batch):
-                return [(reply, OK) for reply in replies]
-        except Exception:  # noqa: BLE001 - find the failing prompts one by one
-            pass
-        return [one(scorer, prompt) for prompt in batch]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for batch in batches:
             texts = batch["prompt"].tolist()
             pairs = []
             for start in range(0, len(texts), batch_rows):
-                pairs += many(scorer, texts[start : start + batch_rows])
+                pairs += _many(scorer, texts[start : start + batch_rows])
             yield pd.DataFrame(
                 {
                     "article_id": batch["article_id"],
@@ -64,6 +69,31 @@ def score_batch(
     return spread.select("article_id", "task", "emotion", "prompt").mapInPandas(run, REPLY_SCHEMA)
 
 
+def score_with_kept_model(
+    prompts: DataFrame, make_scorer: Callable[[], Scorer], batch_rows: int = 64
+) -> DataFrame:
+    """``score_batch`` with one model per worker process, kept for all its tasks.
+
+    For models that are slow to load: ``predict_batch_udf`` loads the model when a worker first
+    needs it, and hands it ``batch_rows`` prompts at a time. Prompts that fail are found one by one.
+    """
+
+    def make_predict() -> Callable[[np.ndarray], dict[str, np.ndarray]]:
+        scorer = make_scorer()
+
+        def predict(batch: np.ndarray) -> dict[str, np.ndarray]:
+            replies, statuses = zip(*_many(scorer, batch.tolist()))
+            # Objects, as a reply may be null.
+            return {"raw": np.array(replies, dtype=object), "status": np.array(statuses, dtype=object)}
+
+        return predict
+
+    reply = T.StructType([T.StructField("raw", T.StringType()), T.StructField("status", T.StringType())])
+    predict = predict_batch_udf(make_predict, return_type=reply, batch_size=batch_rows)
+    scored = prompts.select("article_id", "task", "emotion", predict(F.col("prompt")).alias("r"))
+    return scored.select("article_id", "task", "emotion", "r.raw", "r.status")
+
+
 def embed_batch(
     inputs: DataFrame, make_embedder: Callable[[], Callable[[str], Sequence[float]]]
 ) -> DataFrame:

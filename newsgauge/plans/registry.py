@@ -139,6 +139,12 @@ def score_batch(spark, sf_dir):
     return SC.score_batch(prompts, LengthScorer)
 
 
+@query
+def score_with_kept_model(spark, sf_dir):
+    prompts = PR.prompt_fanout(views.cleaned_documents(spark, sf_dir))
+    return SC.score_with_kept_model(prompts, LengthScorer)
+
+
 class LengthEmbedder:
     """Stands in for an embedding model that takes short prompts only."""
 

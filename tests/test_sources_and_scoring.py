@@ -260,3 +260,29 @@ def test_stream_scores_only_new_files(spark):
     assert out.count() == 350
     assert out.select("article_id", "task", "emotion").distinct().count() == 350
     assert glob.glob(f"{checkpoint}/commits/*")
+
+
+class Counted:
+    """Leaves a file for every load of the model, named by its process."""
+
+    def __init__(self, folder):
+        import os
+        import uuid
+
+        with open(f"{folder}/{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+    def __call__(self, prompts):
+        return Failing()(prompts)
+
+
+def test_a_kept_model_is_loaded_once_per_worker(spark, tmp_path):
+    folder = str(tmp_path)
+    prompts = PR.prompt_fanout(article_frame(spark, ARTICLES * 20)).repartition(40)
+    kept = SC.score_with_kept_model(prompts, lambda: Counted(folder), batch_rows=4)
+    again = kept.collect()
+    loads = [p.name.split("-")[0] for p in tmp_path.iterdir()]
+    # 40 tasks ran on fewer workers, and none of them loaded the model twice.
+    assert 0 < len(loads) == len(set(loads)) < 40
+    want = SC.score_batch(prompts, Failing).collect()
+    assert sorted(map(str, again)) == sorted(map(str, want))
