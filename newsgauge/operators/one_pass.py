@@ -1,15 +1,17 @@
 """Iterative fits of many models at once: every step is one aggregate over the rows for all of them.
 
 Folds of a logistic regression and restarts of k-means differ only in which rows they see and in a
-few numbers, so a row is expanded to one small record per model and summed up by model before
-anything is shuffled. The number of passes over the data is that of the slowest model, not their sum.
+few numbers, so each batch of rows is summed up for every model before anything is shuffled. The
+number of passes over the data is that of the slowest model, not their sum. The numbers of a step
+travel as values, not as literals of the plan, whose code would be compiled anew for every step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,15 @@ LLOYD_MOVE = 1e-4
 COST_DIGITS = 6
 
 
+def _fields(names: Sequence[str]) -> str:
+    return ", ".join(f"{n} double" for n in names)
+
+
+def _table_of(rows: list[list[float]], names: Sequence[str]) -> pa.RecordBatch:
+    columns = [pa.array([float(v) for v in c], pa.float64()) for c in zip(*rows)]
+    return pa.RecordBatch.from_arrays(columns, names=list(names))
+
+
 def _dot(weights: Sequence[float], values: Sequence[Column]) -> Column:
     total = F.lit(float(weights[-1]))
     for w, z in zip(weights, values):
@@ -97,32 +108,32 @@ def _sums(
     data: DataFrame, scalers: dict[int, Scaler], weights: dict[int, np.ndarray], models: Sequence[int]
 ) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Loss, gradient and Gram matrix of each model over the rows of the other folds."""
-    size = len(next(iter(weights.values())))
-    z = [f"z{a}" for a in range(size - 1)]
-    records = []
-    for i in models:
-        scaled = scalers[i].columns()
-        score = _dot(weights[i], scaled).alias("s")
-        records.append(F.struct(F.lit(i).alias("model"), *[x.alias(n) for x, n in zip(scaled, z)], score))
-    rows = data.select("fold", "y", F.inline(F.array(*records))).where("fold <> model")
-    s, y = F.col("s"), F.col("y")
-    rows = rows.select(
-        "model", "y", *z, F.lit(1.0).alias(f"z{size - 1}"),
-        (1.0 / (1.0 + F.exp(-s))).alias("p"),
-        (F.log1p(F.exp(-F.abs(s))) + F.greatest(s, F.lit(0.0)) - y * s).alias("loss"),
-    )
-    z.append(f"z{size - 1}")
-    p = F.col("p")
-    aggregates = [F.sum("loss").alias("loss")]
-    aggregates += [F.sum((p - F.col("y")) * F.col(n)).alias(f"g_{n}") for n in z]
-    aggregates += [
-        F.sum(p * (1.0 - p) * F.col(z[a]) * F.col(z[b])).alias(f"h{a}_{b}")
-        for a in range(size) for b in range(a, size)
-    ]
+    features = next(iter(scalers.values())).features
+    size = len(features) + 1
+    wanted = {i: (np.array(scalers[i].mean), np.array(scalers[i].std), weights[i]) for i in models}
+    cells = [(a, b) for a in range(size) for b in range(a, size)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fold, y, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            x = np.column_stack(columns)
+            out = []
+            for i, (mean, std, w) in wanted.items():
+                mine = fold != i
+                z = np.column_stack([(x[mine] - mean) / std, np.ones(mine.sum())])
+                s, t = z @ w, y[mine]
+                p = 1.0 / (1.0 + np.exp(-s))
+                loss = np.log1p(np.exp(-np.abs(s))) + np.maximum(s, 0.0) - t * s
+                gram = (z * (p * (1.0 - p))[:, None]).T @ z
+                out.append([i, loss.sum(), *(z.T @ (p - t)), *(gram[a, b] for a, b in cells)])
+            yield _table_of(out, names)
+
+    names = ["model", "loss", *[f"g{a}" for a in range(size)], *[f"h{a}_{b}" for a, b in cells]]
+    rows = data.select("fold", "y", *features).mapInArrow(run, _fields(names))
     found = {}
-    for row in rows.groupBy("model").agg(*aggregates).collect():
+    for row in rows.groupBy("model").agg(*[F.sum(n).alias(n) for n in names[1:]]).collect():
         gram = np.array([[row[f"h{min(a, b)}_{max(a, b)}"] for b in range(size)] for a in range(size)])
-        found[row["model"]] = row["loss"], np.array([row[f"g_{n}"] for n in z]), gram
+        found[int(row["model"])] = row["loss"], np.array([row[f"g{a}"] for a in range(size)]), gram
     return found
 
 
@@ -198,17 +209,23 @@ def _cluster_sums(
     data: DataFrame, z: Sequence[str], centres: dict[int, np.ndarray]
 ) -> dict[int, dict[int, tuple[int, np.ndarray, float]]]:
     """Rows, sums and cost of both clusters of every restart, one aggregate."""
-    records = [
-        F.struct(
-            F.lit(s).alias("restart"), nearest_of_two(z, two).alias("cluster"),
-            F.least(_distance(z, two[0]), _distance(z, two[1])).alias("cost"),
-        )
-        for s, two in sorted(centres.items())
-    ]
-    rows = data.select(*z, F.inline(F.array(*records)))
-    sums = [F.sum(n).alias(n) for n in z]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = x[np.isfinite(x).all(axis=1)]
+            out = []
+            for s, two in centres.items():
+                far = ((x[:, None, :] - two[None, :, :]) ** 2).sum(axis=2)
+                nearer = far[:, 1] < far[:, 0]
+                for cluster, mine in enumerate((~nearer, nearer)):
+                    out.append([s, cluster, mine.sum(), far[mine, cluster].sum(), *x[mine].sum(axis=0)])
+            yield _table_of(out, names)
+
+    names = ["restart", "cluster", "n", "cost", *[f"z{a}" for a in range(len(z))]]
+    rows = data.select(*z).mapInArrow(run, _fields(names))
     found: dict[int, dict[int, tuple[int, np.ndarray, float]]] = {s: {} for s in centres}
-    grouped = rows.groupBy("restart", "cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("cost"), *sums)
-    for row in grouped.collect():
-        found[row["restart"]][row["cluster"]] = row["n"], np.array([row[n] for n in z]), row["cost"]
+    grouped = rows.groupBy("restart", "cluster").agg(*[F.sum(n).alias(n) for n in names[2:]])
+    for row in grouped.where("n > 0").collect():
+        total = np.array([row[n] for n in names[4:]])
+        found[int(row["restart"])][int(row["cluster"])] = int(row["n"]), total, row["cost"]
     return found
