@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from multiprocessing.pool import ThreadPool
+from collections.abc import Sequence
 
 from pyspark import StorageLevel
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import GaussianMixture
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -34,19 +32,6 @@ MAX_ITERATIONS = 1000
 # --- clustering ----------------------------------------------------------------------------
 
 
-def _scaled_vectors(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    scaled = Scaler.fit(df, features).transform(df)
-    assembler = VectorAssembler(inputCols=list(features), outputCol="features")
-    return assembler.transform(scaled).select("article_id", "label", "features")
-
-
-def _best_fit(fit: Callable[[int], tuple[float, object]], seeds: Sequence[int], parallelism: int):
-    """The model with the highest score over several random starts; ties go to the first."""
-    with ThreadPool(parallelism) as pool:
-        fitted = pool.map(fit, seeds)
-    return max(fitted, key=lambda pair: pair[0])[1]
-
-
 def _vote(clustered: DataFrame) -> int:
     """The cluster with the larger share of fake articles; a tie is cluster 1."""
     shares = {
@@ -91,28 +76,30 @@ def gmm_labels(
     features: Sequence[str] = tuple(V.FEATURES),
     restarts: int = 10,
     seed: int = V.SEED,
-    parallelism: int = 8,
 ) -> DataFrame:
-    """Two Gaussian components, best of several starts, with the probability of each."""
-    data = _scaled_vectors(df, features).persist(StorageLevel.MEMORY_AND_DISK)
-
-    n = data.count()
-
-    def fit(s: int):
-        # Stops where the mean log-likelihood of a row gains less than 1e-3.
-        model = GaussianMixture(k=2, seed=s, maxIter=100, tol=1e-3 * n).fit(data)
-        return model.summary.logLikelihood, model
+    """Two Gaussian components, best of several starts, with the probability of each.
 
+    All restarts share their passes over the rows (``one_pass``); component 0 has the smaller mean.
+    """
+    z = list(features)
+    scaled = Scaler.fit(df, features).transform(df).select("article_id", "label", *z)
+    data = scaled.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        model = _best_fit(fit, range(seed, seed + restarts), parallelism)
-        fake_component = _vote(model.transform(data).withColumnRenamed("prediction", "cluster"))
+        found = one_pass.two_gaussians(data, z, "article_id", restarts, seed)
+        if found is None:
+            return data.sparkSession.createDataFrame(
+                [], f"article_id {data.schema['article_id'].dataType.simpleString()}, label string, "
+                "cluster int, pred int, prob_0 double, prob_1 double",
+            )
+        lead = found[0][1].score_column(z) - found[0][0].score_column(z)
+        cluster = (lead > 0).cast("int")
+        fake_component = _vote(data.withColumn("cluster", cluster))
     finally:
         data.unpersist()
-    probability = vector_to_array("probability")
-    return model.transform(data).select(
-        "article_id", "label", F.col("prediction").alias("cluster"),
-        (F.col("prediction") == fake_component).cast("int").alias("pred"),
-        probability[0].alias("prob_0"), probability[1].alias("prob_1"),
+    return scaled.select(
+        "article_id", "label", cluster.alias("cluster"),
+        (cluster == fake_component).cast("int").alias("pred"),
+        (1.0 / (1.0 + F.exp(lead))).alias("prob_0"), (1.0 / (1.0 + F.exp(-lead))).alias("prob_1"),
     )
 
 

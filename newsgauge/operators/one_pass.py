@@ -1,7 +1,7 @@
 """Iterative fits of many models at once: every step is one aggregate over the rows for all of them.
 
-Folds of a logistic regression and restarts of k-means differ only in which rows they see and in a
-few numbers, so each batch of rows is summed up for every model before anything is shuffled. The
+Folds of a logistic regression and restarts of k-means or of a mixture differ only in which rows they
+see and in a few numbers, so each batch of rows is summed up for every model before anything is shuffled. The
 number of passes over the data is that of the slowest model, not their sum. The numbers of a step
 travel as values, not as literals of the plan, whose code would be compiled anew for every step.
 """
@@ -9,6 +9,7 @@ travel as values, not as literals of the plan, whose code would be compiled anew
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,11 @@ NEWTON_TOLERANCE = 1e-8
 LLOYD_STEPS = 300
 LLOYD_MOVE = 1e-4
 COST_DIGITS = 6
+EM_STEPS = 1000
+EM_GAIN = 1e-4
+VARIANCE_FLOOR = 1e-6
+# Mass that a component without rows has, so that its logarithm is defined.
+LEAST_MASS = 1e-14
 
 
 def _fields(names: Sequence[str]) -> str:
@@ -229,3 +235,127 @@ def _cluster_sums(
         total = np.array([row[n] for n in names[4:]])
         found[int(row["restart"])][int(row["cluster"])] = int(row["n"]), total, row["cost"]
     return found
+
+
+# --- mixture of two Gaussians --------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Gaussian:
+    """A weighted component; ``factor`` is the inverse of the Cholesky factor of its covariance."""
+
+    weight: float
+    mean: np.ndarray
+    factor: np.ndarray
+
+    @classmethod
+    def of(cls, share: float, mass: float, total: np.ndarray, square: np.ndarray) -> Gaussian:
+        """From a component's share of the rows, its mass, and sums of its values and products."""
+        mass = mass + LEAST_MASS
+        mean = total / mass
+        covariance = square / mass - np.outer(mean, mean) + VARIANCE_FLOOR * np.eye(len(mean))
+        return cls(share, mean, np.linalg.inv(np.linalg.cholesky(covariance)))
+
+    @property
+    def constant(self) -> float:
+        turn = len(self.mean) * np.log(2 * np.pi) / 2
+        return float(np.log(self.weight) - turn + np.log(np.diag(self.factor)).sum())
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Logarithm of weight times density."""
+        return self.constant - (((x - self.mean) @ self.factor.T) ** 2).sum(axis=1) / 2
+
+    def score_column(self, z: Sequence[str]) -> Column:
+        far = F.lit(0.0)
+        for row in self.factor:
+            part = F.lit(0.0)
+            for f, n, m in zip(row, z, self.mean):
+                if f:
+                    part = part + F.lit(float(f)) * (F.col(n) - F.lit(float(m)))
+            far = far + part * part
+        return F.lit(self.constant) - far / 2
+
+
+Mixture = tuple[Gaussian, Gaussian]
+
+
+def two_gaussians(
+    data: DataFrame, z: Sequence[str], key: str, restarts: int, seed: int = V.SEED
+) -> tuple[Mixture, float] | None:
+    """Two components and the mean log-likelihood of a row, the best of several starts; None without rows.
+
+    A restart begins with the rows nearer to either of its two starts, as ``two_means`` draws them,
+    and ends at the first mixture whose likelihood gains less than ``EM_GAIN`` on the one before; it
+    then takes no part in further passes. Likelihoods are compared to ``COST_DIGITS`` digits, ties go
+    to the first restart. Components come in ascending order of their means.
+    """
+    starts = _starts(data, z, key, range(seed, seed + restarts))
+    if not starts:
+        return None
+    mixtures = {s: m for s, (_, m) in _mixture_sums(data, z, starts).items()}
+    reached: dict[int, float] = {}
+    open_ = set(mixtures)
+    for _ in range(EM_STEPS):
+        for s, (likelihood, after) in _mixture_sums(data, z, {s: mixtures[s] for s in open_}).items():
+            gain = likelihood - reached.get(s, -np.inf)
+            reached[s] = likelihood
+            if gain < EM_GAIN:
+                open_.discard(s)
+            else:
+                mixtures[s] = after
+        if not open_:
+            break
+    else:
+        raise RuntimeError(f"no convergence of restarts {sorted(open_)}")
+    best = min(reached, key=lambda s: (-round(reached[s], COST_DIGITS), s))
+    a, b = sorted(mixtures[best], key=lambda g: g.mean.tolist())
+    return (a, b), reached[best]
+
+
+def _mixture_sums(
+    data: DataFrame, z: Sequence[str], models: dict[int, Mixture | np.ndarray]
+) -> dict[int, tuple[float, Mixture]]:
+    """Mean log-likelihood of every restart's mixture and the mixture that follows it, one aggregate.
+
+    A restart of two points instead gives every row to the nearer one; its likelihood is 0.
+    """
+    d = len(z)
+    cells = [(a, b) for a in range(d) for b in range(a, d)]
+
+    def shares(model: Mixture | np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if isinstance(model, np.ndarray):
+            far = ((x[:, None, :] - model[None, :, :]) ** 2).sum(axis=2)
+            nearer = (far[:, 1] < far[:, 0]).astype(float)
+            return np.zeros(len(x)), np.column_stack([1.0 - nearer, nearer])
+        scores = np.column_stack([g.score(x) for g in model])
+        whole = np.logaddexp(scores[:, 0], scores[:, 1])
+        return whole, np.exp(scores - whole[:, None])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns])
+            x = x[np.isfinite(x).all(axis=1)]
+            out = []
+            for s, model in models.items():
+                whole, share = shares(model, x)
+                for k in (0, 1):
+                    mine = x * share[:, k, None]
+                    square = mine.T @ x
+                    out.append([s, k, len(x), whole.sum(), share[:, k].sum(), *mine.sum(axis=0),
+                                *(square[a, b] for a, b in cells)])
+            yield _table_of(out, names)
+
+    names = ["restart", "component", "n", "likelihood", "mass"]
+    names += [*[f"z{a}" for a in range(d)], *[f"q{a}_{b}" for a, b in cells]]
+    rows = data.select(*z).mapInArrow(run, _fields(names))
+    grouped = rows.groupBy("restart", "component").agg(*[F.sum(n).alias(n) for n in names[2:]])
+    parts: dict[int, dict[int, Gaussian]] = {}
+    likelihoods = {}
+    for row in grouped.collect():
+        total = np.array([row[f"z{a}"] for a in range(d)])
+        square = np.array([[row[f"q{min(a, b)}_{max(a, b)}"] for b in range(d)] for a in range(d)])
+        share = (row["mass"] + LEAST_MASS) / row["n"]
+        s = int(row["restart"])
+        parts.setdefault(s, {})[int(row["component"])] = Gaussian.of(share, row["mass"], total, square)
+        likelihoods[s] = row["likelihood"] / row["n"]
+    return {s: (likelihoods[s], (two[0], two[1])) for s, two in parts.items()}

@@ -401,7 +401,90 @@ def _means_views(restarts: int = 20, steps: int = 60, seed: int = V.SEED) -> dic
     return views
 
 
-VIEWS |= _newton_views() | _means_views()
+def _mixture_views(restarts: int = 10) -> dict[str, str]:
+    """Mixtures of two Gaussians from the starts of two-means, by recursion over the steps.
+
+    A covariance is kept as L D L' (unit lower triangle and pivots); a step sums up weights, means and
+    products, and eliminates column by column. A restart ends when the mean log-likelihood gains less
+    than 1e-4, with the mixture that reached it.
+    """
+    d = range(len(V.FEATURES))
+    upper = [(a, b) for a in d for b in d if a <= b]
+    lower = [(b, a) for a, b in upper if a < b]
+    fields = ["w", *[f"m{a}" for a in d], *[f"d{a}" for a in d], *[f"l{b}_{a}" for b, a in lower]]
+    state = [f"{f}_{c}" for c in (0, 1) for f in fields]
+
+    def score(c: int) -> list[str]:
+        rests = [
+            f"z{b} - m{b}_{c}" + "".join(f" - l{b}_{a}_{c} * u{a}_{c}" for a in d if a < b) + f" AS u{b}_{c}"
+            for b in d
+        ]
+        far = " + ".join(f"u{a}_{c} * u{a}_{c} / d{a}_{c} + ln(d{a}_{c})" for a in d)
+        return [*rests, f"ln(w_{c}) - {len(d)} * ln(2 * pi()) / 2 - ({far}) / 2 AS g_{c}"]
+
+    def sums(c: int) -> list[str]:
+        cells = [f"sum(p_{c}) + 1e-14 AS n_{c}"]
+        cells += [f"sum(p_{c} * z{a}) AS t{a}_{c}" for a in d]
+        return [*cells, *[f"sum(p_{c} * z{a} * z{b}) AS q{a}_{b}_{c}" for a, b in upper]]
+
+    def fitted(c: int) -> list[str]:
+        """The new fields, as lateral aliases that end in ``n``."""
+        out = [f"n_{c} / n AS w_{c}n", *[f"t{a}_{c} / n_{c} AS m{a}_{c}n" for a in d]]
+        for a in d:
+            pivot = f"q{a}_{a}_{c} / n_{c} - m{a}_{c}n * m{a}_{c}n + 1e-6"
+            out.append(pivot + "".join(f" - l{a}_{k}_{c}n * l{a}_{k}_{c}n * d{k}_{c}n" for k in range(a)) + f" AS d{a}_{c}n")
+            for b in d:
+                if b > a:
+                    rest = f"q{a}_{b}_{c} / n_{c} - m{a}_{c}n * m{b}_{c}n"
+                    rest += "".join(f" - l{a}_{k}_{c}n * l{b}_{k}_{c}n * d{k}_{c}n" for k in range(a))
+                    out.append(f"({rest}) / d{a}_{c}n AS l{b}_{a}_{c}n")
+        return out
+
+    def far(c: int) -> str:
+        return " + ".join(f"pow(z{a} - c{c}_{a}, 2)" for a in d)
+
+    both = lambda f: ", ".join([*f(0), *f(1)])
+    old = ", ".join(f"any_value({f}) AS {f}" for f in state)
+    kept = ", ".join(f"CASE WHEN ended THEN {f} ELSE {f}n END AS {f}" for f in state)
+    views = {
+        "gm_start": f"""SELECT r, {', '.join(f'{f}n AS {f}' for f in state)}
+          FROM (SELECT *, {both(fitted)} FROM (SELECT r, count(*) AS n, {both(sums)}
+            FROM (SELECT *, CASE WHEN nearer THEN 0.0 ELSE 1.0 END AS p_0, CASE WHEN nearer THEN 1.0 ELSE 0.0 END AS p_1
+              FROM (SELECT *, coalesce({far(1)} < {far(0)}, false) AS nearer
+                FROM km_rows, km_s0 WHERE r < {V.SEED + restarts}) x) x GROUP BY r) x) x""",
+        "gm_steps": f"""SELECT r, 0 AS step, CAST('-infinity' AS double) AS reached, false AS ended,
+            {', '.join(state)} FROM gm_start
+          UNION ALL SELECT r, step + 1 AS step, likelihood AS reached, ended, {kept}
+          FROM (SELECT *, likelihood - reached < 1e-4 AS ended, {both(fitted)}
+            FROM (SELECT r, any_value(step) AS step, any_value(reached) AS reached, count(*) AS n,
+                avg(whole) AS likelihood, {old}, {both(sums)}
+              FROM (SELECT *, greatest(g_0, g_1) + ln(1 + exp(-abs(g_0 - g_1))) AS whole,
+                  exp(g_0 - whole) AS p_0, exp(g_1 - whole) AS p_1
+                FROM (SELECT *, {both(score)} FROM km_rows, gm_steps WHERE NOT ended) x) x
+              GROUP BY r) x) x""",
+        "gm_best": """SELECT * FROM (SELECT *, row_number() OVER (ORDER BY round(reached, 6) DESC, r) AS place
+          FROM gm_steps WHERE ended) x WHERE place = 1""",
+        "gm_clusters": f"""SELECT *, CAST(lead > 0 AS int) AS cluster FROM (SELECT article_id, label, y,
+            CASE WHEN m0_0 <= m0_1 THEN g_1 - g_0 ELSE g_0 - g_1 END AS lead
+          FROM (SELECT *, {both(score)} FROM km_rows, gm_best) x) x""",
+    }
+    for kind in ("km", "gm"):
+        views[f"{kind}_labels"] = f"""SELECT *, CAST(cluster = (SELECT CASE WHEN
+          coalesce(avg(y) FILTER (cluster = 0), 0) > coalesce(avg(y) FILTER (cluster = 1), 0)
+          THEN 0 ELSE 1 END FROM {kind}_clusters WHERE label IS NOT NULL) AS int) AS pred
+          FROM {kind}_clusters"""
+    views["method_predictions"] = " UNION ALL ".join(
+        f"SELECT '{name}' AS method, CAST(y AS int) AS y, CAST(pred AS int) AS pred FROM {source}"
+        for name, source in (
+            ("KMeans", "km_labels WHERE label IN ('fake', 'real')"), ("Nearest Centroid", "nearest"),
+            ("GMM", "gm_labels WHERE label IN ('fake', 'real')"), ("Affective Distance", "nearest"),
+        )
+    )
+    views["method_scores"] = _scores("method_predictions", "method")
+    return views
+
+
+VIEWS |= _newton_views() | _means_views() | _mixture_views()
 VIEWS |= _cv_views("cv", "fold") | _cv_views("gcv", "global")
 VIEWS["report"] = _scores("nearest", None)
 
@@ -412,7 +495,8 @@ def _with(body: str) -> str:
 
     def visit(sql: str) -> None:
         for name in VIEWS:
-            if name not in needed and re.search(rf"\b{name}\b", sql):
+            # A recursive view names itself.
+            if name not in needed and VIEWS[name] != sql and re.search(rf"\b{name}\b", sql):
                 visit(VIEWS[name])
                 if name not in needed:
                     needed.append(name)
@@ -420,7 +504,7 @@ def _with(body: str) -> str:
     visit(body)
     if not needed:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({VIEWS[n]})" for n in needed) + "\n" + body
 
 
 def _rounded(columns: list[str], digits: int) -> str:
@@ -654,9 +738,10 @@ BODIES |= {
         f"SELECT '{m}' AS metric, round(avg({m}), 6) AS mean, round(stddev_pop({m}), 6) AS std FROM lr_scores"
         for m in SCORES
     ),
-    "kmeans_labels": """SELECT article_id, label, cluster, CAST(cluster = (SELECT CASE WHEN
-          coalesce(avg(y) FILTER (cluster = 0), 0) > coalesce(avg(y) FILTER (cluster = 1), 0)
-          THEN 0 ELSE 1 END FROM km_clusters WHERE label IS NOT NULL) AS int) AS pred FROM km_clusters""",
+    "kmeans_labels": "SELECT article_id, label, cluster, pred FROM km_labels",
+    "gmm_labels": """SELECT article_id, label, cluster, pred, round(1 / (1 + exp(lead)), 6) AS prob_0,
+        round(1 / (1 + exp(-lead)), 6) AS prob_1 FROM gm_labels""",
+    "method_summary": f"SELECT method, {_rounded(['f1_weighted', 'accuracy'], 6)} FROM method_scores",
 }
 BODIES["model_roundtrip"] = BODIES["classify_affect"]
 

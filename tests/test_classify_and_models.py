@@ -4,6 +4,7 @@ import pytest
 from newsgauge.functions import fixed_values as V
 from newsgauge.operators import classify as CL
 from newsgauge.operators import models as MO
+from newsgauge.operators import one_pass
 from newsgauge.session import new_path
 
 SCHEMA = "article_id long, label string, " + ", ".join(f"{f} double" for f in V.FEATURES)
@@ -203,12 +204,38 @@ def test_kmeans(spark):
     assert (nearest == clusters).mean() > 0.98
 
 
-def test_best_fit_is_monotone_in_restarts():
-    costs = {1: -5.0, 2: -3.0, 3: -4.0}
-    fit = lambda s: (costs[s], s)
-    assert MO._best_fit(fit, [1], 2) == 1
-    assert MO._best_fit(fit, [1, 2], 2) == 2
-    assert MO._best_fit(fit, [1, 2, 3], 2) == 2
+def test_mixture_equals_the_textbook_steps_and_gains_with_restarts(spark):
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(0, 1, (300, 2)), rng.normal([4, 1], [0.5, 2], (200, 2))])
+    df = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)], "id long, a double, b double")
+    found = {n: one_pass.two_gaussians(df, ["a", "b"], "id", n) for n in (1, 2, 4)}
+    assert found[1][1] <= found[2][1] + 1e-6 <= found[4][1] + 2e-6
+    (low, high), reached = found[4]
+    assert low.weight + high.weight == pytest.approx(1.0)
+    assert low.mean == pytest.approx([0, 0], abs=0.3) and high.mean == pytest.approx([4, 1], abs=0.5)
+
+    def density(g):
+        covariance = np.linalg.inv(g.factor.T @ g.factor)
+        off = x - g.mean
+        far = np.einsum("ij,jk,ik->i", off, np.linalg.inv(covariance), off)
+        return g.weight * np.exp(-far / 2) / (2 * np.pi * np.sqrt(np.linalg.det(covariance)))
+
+    both = np.array([density(low), density(high)])
+    assert np.log(both.sum(0)).mean() == pytest.approx(reached)
+    share = both[1] / both.sum(0)
+    (_, after) = one_pass._mixture_sums(df, ["a", "b"], {0: (low, high)})[0]
+    assert after[1].weight == pytest.approx(share.mean())
+    mean = (share[:, None] * x).sum(0) / share.sum()
+    assert after[1].mean == pytest.approx(mean)
+    covariance = ((x - mean).T * share) @ (x - mean) / share.sum() + 1e-6 * np.eye(2)
+    assert np.linalg.inv(after[1].factor.T @ after[1].factor) == pytest.approx(covariance)
+
+
+def test_mixture_of_equal_rows_and_of_none(spark):
+    df = spark.createDataFrame([(i, 1.0, 2.0) for i in range(9)], "id long, a double, b double")
+    (low, high), _ = one_pass.two_gaussians(df, ["a", "b"], "id", 2)
+    assert sorted([low.weight, high.weight]) == pytest.approx([0, 1], abs=1e-9)
+    assert one_pass.two_gaussians(df.limit(0), ["a", "b"], "id", 2) is None
 
 
 def test_gmm(spark):
