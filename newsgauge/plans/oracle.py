@@ -585,6 +585,9 @@ BODIES = {
     "sink_vectors": """SELECT vec_id AS article_id, CAST(len(embedding) AS int) AS dims, round(sqrt(
         list_dot_product(CAST(embedding AS double[]), CAST(embedding AS double[]))), 6) AS norm
         FROM embeddings""",
+    "sink_matrix": """SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row, vec_id AS article_id,
+        CAST(len(embedding) AS int) AS dims, round(sqrt(list_dot_product(CAST(embedding AS double[]),
+        CAST(embedding AS double[]))), 6) AS norm FROM embeddings""",
     "vector_check": """SELECT count(*) AS n_vectors, CAST(min(len(embedding)) AS int) AS min_size,
         CAST(max(len(embedding)) AS int) AS max_size, round(min(n), 4) AS min_norm,
         round(max(n), 4) AS max_norm FROM (SELECT embedding, sqrt(list_dot_product(

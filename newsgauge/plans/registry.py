@@ -22,7 +22,7 @@ from newsgauge.operators import scoring as SC
 from newsgauge.operators import stats as ST
 from newsgauge.plans import views
 from newsgauge.session import new_path
-from newsgauge.sources import sinks, tables
+from newsgauge.sources import matrix, sinks, tables
 from newsgauge.streaming import incremental as IN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -114,6 +114,16 @@ def sink_vectors(spark, sf_dir):
     )
 
 
+@query
+def sink_matrix(spark, sf_dir):
+    path = new_path(spark, "matrix")
+    matrix.sink_matrix(views.vectors(spark, sf_dir), path)
+    return matrix.scan_matrix(spark, path).select(
+        "row", "article_id", F.size("embedding").alias("dims"),
+        F.round(VE.norm(F.col("embedding")), 6).alias("norm"),
+    )
+
+
 @query
 def vector_check(spark, sf_dir):
     return RE.vector_check(views.vectors(spark, sf_dir))
