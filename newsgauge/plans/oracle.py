@@ -729,6 +729,7 @@ BODIES = {
     "classification_report": REPORT,
 }
 BODIES["stream_scores"] = BODIES["score_batch"]
+BODIES["stream_with_retry"] = BODIES["score_batch"]
 BODIES["score_with_kept_model"] = BODIES["score_batch"]
 BODIES["score_new"] = BODIES["score_batch"]
 

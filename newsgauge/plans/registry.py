@@ -24,6 +24,7 @@ from newsgauge.plans import views
 from newsgauge.session import new_path
 from newsgauge.sources import matrix, sinks, tables
 from newsgauge.streaming import incremental as IN
+from newsgauge.streaming import retry as RT
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -182,6 +183,24 @@ def stream_scores(spark, sf_dir):
     return spark.read.schema(SC.REPLY_SCHEMA).parquet(output)
 
 
+@query
+def stream_with_retry(spark, sf_dir):
+    source, output, checkpoint = (new_path(spark, n) for n in ("incoming", "scores", "progress"))
+    views.documents(spark, sf_dir).select("article_id", "title", "text").write.parquet(source)
+    running = RT.stream_scores_with_retry(
+        spark, source, output, checkpoint, LengthScorer, wait_ms=1000, every="1 second"
+    )
+    try:
+        # Timers keep the query busy for ever; a batch without input means that all files are done.
+        while not running.awaitTermination(1):
+            done = running.lastProgress
+            if done and not done["numInputRows"]:
+                break
+    finally:
+        running.stop()
+    return spark.read.schema(SC.REPLY_SCHEMA).parquet(output)
+
+
 @query
 def score_new(spark, sf_dir):
     output = new_path(spark, "scores")
