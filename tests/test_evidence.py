@@ -179,3 +179,23 @@ def test_keys_in_many_blocks(spark):
     articles = [(i, f"all0 some{i % 9} one{i * 7}") for i in range(40)]
     out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=4, block_rows=9)
     assert answers(out) == brute_force(articles, pages, 4)
+
+
+def test_cells_are_no_larger_with_more_blocks(spark):
+    """Rows to search for are neither copied per block nor shuffled; a batch meets one block at a time."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    text = lambda n: " ".join(rng.choices(words, [1 / (i + 1) for i in range(300)], k=n))
+    pages = [(j, text(rng.randint(5, 60))) for j in range(300)]
+    articles = [(i, text(30)) for i in range(60)]
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=2, block_rows=10)
+    assert answers(out) == brute_force(articles, pages, 2)
+    assert "FlatMapCoGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_a_range_of_long_pages_makes_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(maxscore, "BLOCK_UNITS", 200)
+    pages = [(j, " ".join(f"t{j * 7 % 50 + i}" for i in range(60))) for j in range(20)]
+    articles = [(i, " ".join(f"t{i * 3 + j}" for j in range(20))) for i in range(12)]
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=3, block_rows=5)
+    assert answers(out) == brute_force(articles, pages, 3)
