@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from newsgauge.functions.vectors import norm
-from newsgauge.operators.grid import RESULT, best_per_row, score_grid, score_routes, top_k
+from newsgauge.operators.grid import BLOCK_UNITS, RESULT, best_per_row, score_grid, score_routes, top_k
 from newsgauge.operators.skew import first_ids, join_lookup
 from newsgauge.session import materialize
 
@@ -19,6 +19,9 @@ DIGITS = 9
 RECALL = 0.93
 TRIAL_ROWS = 512
 SAMPLE_VALUES = 4_000_000
+CHUNK_PAIRS = 1 << 22
+CELL_ROWS = 1 << 14
+ROUTE_VALUES = 1 << 20
 
 
 def _unit_rows(vectors: pd.Series) -> np.ndarray:
@@ -26,6 +29,19 @@ def _unit_rows(vectors: pd.Series) -> np.ndarray:
     return matrix / np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
 
 
+def _wanted(asked: pd.Series, lists: pd.Series) -> np.ndarray:
+    """Left x right rows: whether the right row's list is one the left row asks for."""
+    known, number = np.unique(lists.to_numpy(), return_inverse=True)
+    sizes = asked.map(len).to_numpy()
+    column = np.searchsorted(known, np.concatenate(asked.to_numpy()))
+    row = np.repeat(np.arange(len(asked)), sizes)
+    # A list that has no rows in this cell is no use.
+    here = np.append(known, -1)[column] == np.concatenate(asked.to_numpy())
+    table = np.zeros((len(asked), len(known)), dtype=bool)
+    table[row[here], column[here]] = True
+    return table[:, number]
+
+
 def _cosine_cell(k: int):
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -36,10 +52,13 @@ def _cosine_cell(k: int):
         candidates = _unit_rows(right["embedding"]).T
         domains, ids = right["domain"].to_numpy(), right["right_id"].to_numpy()
         parts = []
-        for start in range(0, len(left), 1024):
-            chunk = left.iloc[start : start + 1024]
+        size = max(1, CHUNK_PAIRS // len(right))
+        for start in range(0, len(left), size):
+            chunk = left.iloc[start : start + size]
             scores = np.round(_unit_rows(chunk["embedding"]) @ candidates, DIGITS) + 0.0
             scores[chunk["domain"].to_numpy()[:, None] == domains[None, :]] = -np.inf
+            if "lists" in chunk:
+                scores[~_wanted(chunk["lists"], right["list"])] = -np.inf
             kept = scores.copy()
             rows, columns = best_per_row(scores, k)
             parts.append(
@@ -138,25 +157,67 @@ def probes_for(
     return int(np.quantile(place, recall, method="higher")) + 1
 
 
-def _list_column(centres: np.ndarray, probes: int, only: dict[int, object], unused: list[int]):
-    """Add ``block``: the nearest lists of a row; lists of nothing but its own domain are no use."""
+def _list_column(centres: np.ndarray):
+    """Add ``list``: the nearest list of a row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
+        size = max(1, ROUTE_VALUES // len(centres))
+        for whole in batches:
+            for start in range(0, len(whole), size):
+                batch = whole.iloc[start : start + size]
+                near = _unit_rows(batch["embedding"]) @ centres.T
+                yield batch.assign(list=near.argmax(axis=1).astype("int32"))
+
+    return run
+
+
+def _routes(
+    centres: np.ndarray, probes: int, blocks: np.ndarray, only: dict[int, object], unused: list[int]
+):
+    """A row per block with ``lists``: the nearest lists of a row that lie in the block.
+
+    Lists of nothing but the row's own domain are no use. A row goes to a block once, however many of
+    its lists lie there, and what is made at a time is bounded.
+    """
+    wanted = min(probes, len(centres))
+    copies = min(wanted, int(blocks.max()) + 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            if not len(whole):
                 continue
-            near = _unit_rows(batch["embedding"]) @ centres.T
-            near[:, unused] = -np.inf
-            for number, domain in only.items():
-                near[batch["domain"].to_numpy() == domain, number] = -np.inf
-            wanted = min(probes, len(centres))
-            lists = np.argsort(-near, axis=1, kind="stable")[:, :wanted]
-            row, column = np.nonzero(np.isfinite(np.take_along_axis(near, lists, axis=1)))
-            yield batch.iloc[row].assign(block=lists[row, column].astype("int32"))
+            values = len(centres) + copies * len(whole["embedding"].iloc[0])
+            size = max(1, ROUTE_VALUES // values)
+            for start in range(0, len(whole), size):
+                batch = whole.iloc[start : start + size]
+                near = _unit_rows(batch["embedding"]) @ centres.T
+                near[:, unused] = -np.inf
+                for number, domain in only.items():
+                    near[batch["domain"].to_numpy() == domain, number] = -np.inf
+                nearest = np.argsort(-near, axis=1, kind="stable")[:, :wanted]
+                row, column = np.nonzero(np.isfinite(np.take_along_axis(near, nearest, axis=1)))
+                lists = nearest[row, column].astype("int32")
+                order = np.lexsort((lists, blocks[lists], row))
+                row, lists = row[order], lists[order]
+                block = blocks[lists]
+                new = np.flatnonzero(
+                    np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1]))[: len(row)]
+                )
+                parts = np.split(lists, new[1:]) if len(new) else []
+                yield batch.iloc[row[new]].assign(block=block[new], lists=pd.Series(parts, dtype=object).to_numpy())
 
     return run
 
 
+def _sample(found: DataFrame, n: int, size: int) -> pd.DataFrame:
+    """The rows of the smallest hashes: the same ones on any partitioning. A task sends its share."""
+    number = F.xxhash64("right_id")
+    share = (size + 6 * math.sqrt(size) + 10) / max(1, n)
+    some = found.where(number <= F.lit(int(share * 2**64) - 2**63)) if share < 1 else found
+    rows = some.orderBy(number, "right_id").limit(size).select("domain", "embedding").toPandas()
+    return rows if len(rows) == size or share >= 1 else _sample(found, 0, size)
+
+
 def retrieve_by_lists(
     targets: DataFrame,
     k: int = 4,
@@ -182,30 +243,38 @@ def retrieve_by_lists(
         found = materialize(spark, found, "found")
         shape = found.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
         n, size = shape[0], max(1, shape[1] or 1)
-        # The smallest hashes: the same rows on any partitioning.
-        sample = found.orderBy(F.xxhash64("right_id"), "right_id").limit(max(1, sample_values // size))
-        rows = sample.select("domain", "embedding").toPandas()
+        rows = _sample(found, n, max(1, sample_values // size))
         if rows.empty:
             return spark.createDataFrame([], RESULT)
         units = _unit_rows(rows["embedding"])
         wanted = lists or math.isqrt(n)
         centres = fit_centroids(units, max(1, min(wanted, len(units) // 4)))
-        name = searched.schema["domain"].dataType.simpleString()
-        fields = "id long, domain {}, embedding array<double>, block int".format(name)
-
-        def listed(df: DataFrame, key: str, count: int, only: dict, unused: list[int]) -> DataFrame:
-            wide = df.select(
-                F.col(key).alias("id"), "domain", F.col("embedding").cast("array<double>").alias("embedding")
-            )
-            return wide.mapInPandas(_list_column(centres, count, only, unused), fields).withColumnRenamed("id", key)
 
-        index = materialize(spark, listed(found, "right_id", 1, {}, []), "lists")
-        domains = index.groupBy("block").agg(F.min("domain").alias("a"), F.max("domain").alias("b")).collect()
-        only = {r["block"]: r["a"] for r in domains if r["a"] == r["b"]}
-        unused = sorted(set(range(len(centres))) - {r["block"] for r in domains})
+        def fields(df: DataFrame, added: str) -> str:
+            return ", ".join(f"{name} {kind}" for name, kind in df.dtypes) + added
+
+        index = materialize(
+            spark, found.mapInPandas(_list_column(centres), fields(found, ", list int")), "lists"
+        )
+        # One row per list. Neighbours in number share a block, of the size of a cell.
+        shape = index.groupBy("list").agg(
+            F.min("domain").alias("a"), F.max("domain").alias("b"), F.count(F.lit(1)).alias("rows")
+        ).collect()
+        only = {r["list"]: r["a"] for r in shape if r["a"] == r["b"]}
+        unused = sorted(set(range(len(centres))) - {r["list"] for r in shape})
+        least = math.isqrt(2 * spark.sparkContext.defaultParallelism)
+        cell_rows = max(1, min(CELL_ROWS, BLOCK_UNITS // size, -(-n // least)))
+        counts = np.zeros(len(centres), dtype=np.int64)
+        counts[[r["list"] for r in shape]] = [r["rows"] for r in shape]
+        blocks = ((np.cumsum(counts) - counts) // cell_rows).astype("int32")
+        block_of = spark.createDataFrame(list(enumerate(blocks.tolist())), "list int, block int")
         count = probes or probes_for(units, rows["domain"].to_numpy(), centres, k, recall)
-        routes = listed(searched, "left_id", count, only, unused)
-        return score_routes(routes, index, _cosine_cell(k))
+        routes = searched.mapInPandas(
+            _routes(centres, count, blocks, only, unused),
+            fields(searched, ", block int, lists array<int>"),
+        )
+        placed = index.join(F.broadcast(block_of), "list")
+        return score_routes(routes, placed, _cosine_cell(k), cell_rows, cell_rows)
 
     return _answers(targets, source, k, score)
 

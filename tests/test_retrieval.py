@@ -156,3 +156,28 @@ def test_mean_pool(spark):
     t, s = VE.mean_pool(F.col("t")), VE.mean_pool_nested(F.col("s"))
     row = df.select(t.alias("t"), s.alias("s")).first()
     assert row.t == [3.0, 5.0] and row.s == [3.0, 5.0]
+
+
+def test_routes_are_bounded_and_name_a_row_once_per_block(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(RE, "ROUTE_VALUES", 400)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(20, 8))
+    blocks = (np.arange(20) // 7).astype("int32")
+    batch = pd.DataFrame({"left_id": range(100), "domain": "a", "embedding": list(rng.normal(size=(100, 8)))})
+    made = list(RE._routes(centres, 10, blocks, {}, [])(iter([batch])))
+    assert max(len(m) for m in made) * 8 <= 400
+    routes = pd.concat(made)
+    assert not routes.duplicated(["left_id", "block"]).any()
+    assert routes.groupby("left_id")["lists"].apply(lambda x: sum(map(len, x))).eq(10).all()
+    assert all((blocks[x] == b).all() for x, b in zip(routes["lists"], routes["block"]))
+
+
+def test_list_search_is_the_same_in_small_cells(spark, monkeypatch):
+    rows = clustered()
+    df = spark.createDataFrame(rows, SCHEMA)
+    whole = answers(RE.retrieve_by_lists(df, 4, lists=12, probes=5))
+    monkeypatch.setattr(RE, "CELL_ROWS", 16)
+    monkeypatch.setattr(RE, "CHUNK_PAIRS", 64)
+    assert answers(RE.retrieve_by_lists(df, 4, lists=12, probes=5)) == whole
