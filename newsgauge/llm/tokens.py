@@ -145,17 +145,23 @@ class Encoder:
             starts, ends = starts[solid], ends[solid]
         hashes = self._hashes(codes, starts, ends)
 
-        where = self._find(hashes)
+        # Distinct pieces in order are found in the cache much faster than all as they come.
+        order = np.argsort(hashes)
+        ranked = hashes[order]
+        new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+        distinct, first = ranked[new], order[new]
+        where = self._find(distinct)
         unknown = where < 0
         if unknown.any():
-            new, first = np.unique(hashes[unknown], return_index=True)
-            first = np.flatnonzero(unknown)[first]
-            if len(self.keys) + len(new) > CACHE_PIECES:
+            if len(self.keys) + int(unknown.sum()) > CACHE_PIECES:
                 self._forget()
-                new, first = np.unique(hashes, return_index=True)
-            spans = zip(starts[first].tolist(), ends[first].tolist())
-            self._learn(new, [joined[a:b] for a, b in spans])
-            where = self._find(hashes)
+                unknown[:] = True
+            spans = zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist())
+            self._learn(distinct[unknown], [joined[a:b] for a, b in spans])
+            where = self._find(distinct)
+        number = np.empty(len(hashes), dtype=np.int64)
+        number[order] = np.cumsum(new) - 1
+        where = where[number]
 
         sizes = self.sizes[where]
         total = np.concatenate(([0], np.cumsum(sizes)))

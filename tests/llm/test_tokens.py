@@ -182,3 +182,25 @@ def test_token_files(spark, sf_dir):
                 assert sum(mask.to_pylist()) == size and len(values) == token_files.LENGTH
     empty = token_files.write_token_files(no_documents(spark), WORDS)
     assert empty.collect() == [] and token_files.read_documents(spark, empty).collect() == []
+
+
+def test_a_block_is_looked_up_by_its_distinct_pieces(monkeypatch):
+    import numpy as np
+    import public_tokenizers
+
+    from newsgauge.llm import tokens
+
+    asked = []
+    find = tokens.Encoder._find
+    monkeypatch.setattr(tokens.Encoder, "_find", lambda self, h: asked.append(len(h)) or find(self, h))
+    coder = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one two three " * 500, "", " ", "two zebra99 " * 200]
+    found = coder.encode(texts)
+    assert max(asked) <= 10
+    for text, ids in zip(texts, found):
+        assert ids.tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
+    # Also when the cache is emptied in between, and for blocks without any piece.
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 3)
+    for a, b in zip(found, coder.encode(texts)):
+        assert np.array_equal(a, b)
+    assert [len(i) for i in coder.encode([" ", ""])] == [0, 0]
