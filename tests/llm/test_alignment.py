@@ -125,3 +125,26 @@ def test_edges(spark):
     nothing = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     _, got = check(nothing)
     assert [tuple(r)[1:] for r in got] == [(0, 0, 0, 0, 0, 0, "")] * 2
+
+
+def test_a_chunk_takes_little_memory():
+    """What a chunk of the default size needs beside its texts, in a process of two per 3 GB executor."""
+    import random
+    import tracemalloc
+
+    import public_tokenizers
+
+    from newsgauge.llm import alignment
+
+    rng = random.Random(1)
+    words = ["river", "stone", "window", "quiet", "the", "of", "morning", "letter42", "zebra"]
+    texts = [" ".join(rng.choices(words, k=800)) for _ in range(alignment.CHUNK_BYTES // 4000)]
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    chunk = alignment.Chunk(*paths)
+    chunk.add(list(range(len(texts))), texts)
+    tracemalloc.start()
+    rows = list(chunk.rows(0, False))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows[0].num_rows == len(texts)
+    assert peak < 100 << 20
