@@ -80,3 +80,56 @@ def test_failed_prompts_are_asked_again_across_a_restart(spark, tmp_path):
     assert all((r.status == SC.OK) == (r.article_id < 2) for r in got)
     assert all("not now" in r.status for r in got if r.article_id == 2)
     assert all(r.raw == "0.5" for r in got if r.article_id < 2)
+
+
+def first_refusing_scorer(folder):
+    """Refuses each prompt once; leaves a file for each call, with the number of its prompts."""
+
+    def score(prompts):
+        import hashlib
+        import os
+        import uuid
+
+        with open(f"{folder}/call-{uuid.uuid4().hex}", "w") as call:
+            call.write(str(len(prompts)))
+        for p in prompts:
+            name = f"{folder}/{hashlib.md5(p.encode()).hexdigest()}"
+            if not os.path.exists(name):
+                open(name, "w").close()
+                raise RuntimeError("not now")
+        return [f"0.{len(p) % 97}" for p in prompts]
+
+    return score
+
+
+def test_articles_share_the_state_and_the_batches_of_a_bucket(spark, tmp_path):
+    folder = str(tmp_path)
+    source, output, checkpoint = (new_path(spark, n) for n in ("in", "out", "progress"))
+    # More prompts wait in a bucket than one value of the state takes; ids that a float cannot hold, and none.
+    ids = [2**53 + 2 * i + 1 for i in range(199)] + [None]
+    rows = [(i, f"title {n}", f"text number {n}") for n, i in enumerate(ids)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(source)
+    scorer = first_refusing_scorer(folder)
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+    def replies():
+        if not os.path.isdir(f"{output}/_spark_metadata"):
+            return []
+        return spark.read.schema(SC.REPLY_SCHEMA).parquet(output).collect()
+
+    query = retry.stream_scores_with_retry(
+        spark, source, output, checkpoint, lambda: scorer, wait_ms=0, every="1 second", batch_rows=50, buckets=2
+    )
+    try:
+        wait_for(lambda: len(replies()) >= 1400)
+        time.sleep(3)
+    finally:
+        query.stop()
+    got = replies()
+    assert len(got) == 1400 and all(r.status == SC.OK for r in got)
+    assert {(r.article_id, r.task, r.emotion) for r in got} == {
+        (i, t, e) for i in ids for t, e in {(r.task, r.emotion) for r in got}
+    }
+    calls = [int(p.read_text()) for p in tmp_path.glob("call-*")]
+    # One by one where a batch failed; those that waited come again in whole batches.
+    assert max(calls) == 50 and sum(n == 50 for n in calls) >= 48
