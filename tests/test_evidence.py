@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
 from newsgauge.operators import evidence as EV
@@ -199,3 +200,49 @@ def test_a_range_of_long_pages_makes_several_blocks(spark, monkeypatch):
     articles = [(i, " ".join(f"t{i * 3 + j}" for j in range(20))) for i in range(12)]
     out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=3, block_rows=5)
     assert answers(out) == brute_force(articles, pages, 3)
+
+
+def test_rows_are_read_once_however_many_blocks(spark):
+    """A task takes its rows through all blocks, so that no block is another pass over the articles."""
+    pages = [(j, f"all{j % 2} some{j % 7} one{j}") for j in range(300)]
+    articles = [(i, f"all0 some{i % 9} one{i * 7}") for i in range(40)]
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=4, block_rows=20)
+    assert answers(out) == brute_force(articles, pages, 4)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_scores_by_postings_and_by_the_table_of_common_tokens(monkeypatch):
+    rng = random.Random(12)
+    rows = [sorted(rng.sample(range(26), rng.randint(1, 20))) for _ in range(700)]
+    found = [sorted(rng.sample(range(30), rng.randint(1, 25))) for _ in range(60)]
+    weight = [math.log(700 / sum(t in r for r in rows)) for t in range(26)]
+    table = pa.table(
+        {
+            "right_id": pa.array(range(700)),
+            "keys": pa.array(rows, pa.list_(pa.int64())),
+            "weights": pa.array([[weight[t] for t in r] for r in rows], pa.list_(pa.float64())),
+        }
+    )
+    batch = pa.RecordBatch.from_pydict({"keys": pa.array(found, pa.list_(pa.int64()))})
+    for cells, pairs in ((1, 1), (300 * 12, 1 << 10), (1 << 24, 1 << 18)):
+        monkeypatch.setattr(maxscore, "COMMON_CELLS", cells)
+        monkeypatch.setattr(maxscore, "BATCH_PAIRS", pairs)
+        group = maxscore._Group([batch], 6)
+        group.meet_seeds(maxscore.Block.of(table.slice(100, 300)))
+        for low in (0, 300, 600):
+            group.meet(maxscore.Block.of(table.slice(low, 300)), None)
+        for keys, best in zip(found, group.answers().to_pylist(), strict=True):
+            scores = [(-round(sum(weight[t] for t in r if t in keys), 6), j) for j, r in enumerate(rows)]
+            expected = [(j, round(-s, 5)) for s, j in sorted(scores)[:6]]
+            assert [(b["right_id"], round(b["score"], 5)) for b in best] == expected
+
+
+def test_rows_without_a_threshold_and_long_rows(spark):
+    """Few of the heaviest pages share a token with an article; long articles need several takes of tokens."""
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(3000)]
+    text = lambda n, low=0: " ".join(rng.choices(words[low:], [1 / (i + 1) for i in range(3000 - low)], k=n))
+    pages = [(j, text(rng.choice([3, 10, 40, 400]))) for j in range(900)]
+    articles = [(i, text(rng.choice([1, 5, 30, 600]), rng.choice([0, 100]))) for i in range(120)]
+    out = EV.evidence_top_k(*frames(spark, (articles, pages)), k=5, block_rows=200)
+    assert answers(out) == brute_force(articles, pages, 5)
