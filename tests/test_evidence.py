@@ -224,7 +224,8 @@ def test_scores_by_postings_and_by_the_table_of_common_tokens(monkeypatch):
         }
     )
     batch = pa.RecordBatch.from_pydict({"keys": pa.array(found, pa.list_(pa.int64()))})
-    for cells, pairs in ((1, 1), (300 * 12, 1 << 10), (1 << 24, 1 << 18)):
+    for cells, pairs, whole in ((1, 1, 99), (300 * 12, 1 << 10, 99), (1 << 24, 1 << 18, 99), (300 * 12, 1 << 10, 1)):
+        monkeypatch.setattr(maxscore, "WHOLE_TOKENS", whole)
         monkeypatch.setattr(maxscore, "COMMON_CELLS", cells)
         monkeypatch.setattr(maxscore, "BATCH_PAIRS", pairs)
         group = maxscore._Group([batch], 6)
